@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from loomset.llm import chat, linededup
+from loomset.llm import chat, linededup, minhash
 
 
 def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_groups(_read(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(_read(spark, sf_dir, "documents"))
 
@@ -17,5 +21,5 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.expand_turns(_read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op5_line_dedup, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op5_line_dedup, op10_chat_formatting)}
 ORACLES = {"op5_line_dedup": linededup.ORACLE, "op10_chat_formatting": chat.ORACLE}
