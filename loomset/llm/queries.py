@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomset.llm import chat, linededup, minhash
+from loomset.llm import chat, linededup, minhash, mixing
 
 
 def _read(spark, sf_dir, name):
@@ -17,9 +17,14 @@ def op5_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(_read(spark, sf_dir, "documents"))
 
 
+def op7_source_mixing(spark, sf_dir):
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"), with_schedule=True)
+    return mixed.select("slot", "source", "epoch", "block", "doc_id", "start_token", "end_token", "text")
+
+
 def op10_chat_formatting(spark, sf_dir):
     return chat.expand_turns(_read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op5_line_dedup, op10_chat_formatting)}
-ORACLES = {"op5_line_dedup": linededup.ORACLE, "op10_chat_formatting": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op5_line_dedup, op7_source_mixing, op10_chat_formatting)}
+ORACLES = {"op5_line_dedup": linededup.ORACLE, "op7_source_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE}
