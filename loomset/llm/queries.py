@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from loomset.llm import chat, linededup, minhash, mixing
+from loomset.llm import chat, linededup, minhash, mixing, quality_rules
 
 
 def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark, sf_dir):
+    return quality_rules.kept_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_minhash_near_dedup(spark, sf_dir):
     return minhash.near_groups(_read(spark, sf_dir, "documents"))
 
@@ -26,5 +30,5 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.expand_turns(_read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op5_line_dedup, op7_source_mixing, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_minhash_near_dedup, op5_line_dedup, op7_source_mixing, op10_chat_formatting)}
 ORACLES = {"op5_line_dedup": linededup.ORACLE, "op7_source_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE}
