@@ -41,20 +41,26 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing ``df`` to the shared folder that ``spark.checkpoint.dir`` names.
-
-    Only a local master without that setting gets a folder of its own.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only a local master without that setting gets one of its own."""
     sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _OWN.setdefault(sc.applicationId, "") or tempfile.mkdtemp(prefix="loomset-checkpoint-")
+        _OWN[sc.applicationId] = folder
+    return folder
+
+
+_OWN: dict[str, str] = {}
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by writing ``df`` to the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="loomset-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
