@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomset.llm import chat, linededup, minhash, mixing, quality_rules
+from loomset.llm import chat, linededup, minhash, mixing, quality_rules, spm
 
 
 def _read(spark, sf_dir, name):
@@ -13,6 +13,11 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.kept_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op2_sentencepiece(spark, sf_dir):
+    encoded = spm.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return encoded.select("doc_id", "ids", "n_tokens", "scores", "others", "exact")
+
+
 def op4_minhash_near_dedup(spark, sf_dir):
     return minhash.near_groups(_read(spark, sf_dir, "documents"))
 
@@ -30,5 +35,5 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.expand_turns(_read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_minhash_near_dedup, op5_line_dedup, op7_source_mixing, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op4_minhash_near_dedup, op5_line_dedup, op7_source_mixing, op10_chat_formatting)}
 ORACLES = {"op5_line_dedup": linededup.ORACLE, "op7_source_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE}
