@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomset.llm import chat, linededup, minhash, mixing, quality_rules, spm
+from loomset.llm import chat, linededup, minhash, mixing, permutation, quality_rules, spm
 
 
 def _read(spark, sf_dir, name):
@@ -31,9 +31,13 @@ def op7_source_mixing(spark, sf_dir):
     return mixed.select("slot", "source", "epoch", "block", "doc_id", "start_token", "end_token", "text")
 
 
+def op9_nearest_neighbours(spark, sf_dir):
+    return permutation.neighbours(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_chat_formatting(spark, sf_dir):
     return chat.expand_turns(_read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op4_minhash_near_dedup, op5_line_dedup, op7_source_mixing, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op4_minhash_near_dedup, op5_line_dedup, op7_source_mixing, op9_nearest_neighbours, op10_chat_formatting)}
 ORACLES = {"op5_line_dedup": linededup.ORACLE, "op7_source_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE}
