@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomset.llm import chat, linededup, minhash, mixing, permutation, quality_rules, spm
+from loomset.llm import chat, linededup, minhash, mixing, permutation, pii, quality_rules, spm
 
 
 def _read(spark, sf_dir, name):
@@ -18,6 +18,10 @@ def op2_sentencepiece(spark, sf_dir):
     return encoded.select("doc_id", "ids", "n_tokens", "scores", "others", "exact")
 
 
+def op3_pii(spark, sf_dir):
+    return pii.findings(_read(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark, sf_dir):
     return minhash.near_groups(_read(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.expand_turns(_read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op4_minhash_near_dedup, op5_line_dedup, op7_source_mixing, op9_nearest_neighbours, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_pii, op4_minhash_near_dedup, op5_line_dedup, op7_source_mixing, op9_nearest_neighbours, op10_chat_formatting)}
 ORACLES = {"op5_line_dedup": linededup.ORACLE, "op7_source_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE}
