@@ -119,18 +119,22 @@ def fit(texts: list[bytes], y: np.ndarray, held: np.ndarray) -> dict:
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Newton fit of p = sigmoid(a z + b), with Platt's smoothed targets."""
+    """Damped Newton fit of p = sigmoid(a z + b), with Platt's smoothed targets."""
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.stack([z, np.ones(len(z))])
     theta = np.array([1.0, 0.0])
+    loss = lambda c: (np.logaddexp(0, c @ x) - t * (c @ x)).sum() + 1e-3 * (c @ c)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(theta @ x, -30, 30)))
-        grad = x @ (p - t)
-        hess = (x * (p * (1 - p) + 1e-9)) @ x.T + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        theta = theta - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
+        grad = x @ (p - t) + 2e-3 * theta
+        hess = (x * (p * (1 - p))) @ x.T + 2e-3 * np.eye(2)
+        step, size = np.linalg.solve(hess, grad), 1.0
+        # a full step overshoots where the classes are far apart
+        while loss(theta - size * step) > loss(theta) and size > 1e-6:
+            size /= 2
+        theta = theta - size * step
+        if np.abs(size * step).max() < 1e-7:
             break
     return float(theta[0]), float(theta[1])
 

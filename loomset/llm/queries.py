@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomset.llm import chat, linededup, minhash, mixing, permutation, pii, quality_rules, spm
+from loomset.llm import chat, gam, linededup, minhash, mixing, permutation, pii, quality_rules, spm
 
 
 def _read(spark, sf_dir, name):
@@ -30,6 +30,10 @@ def op5_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(_read(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark, sf_dir):
+    return gam.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_source_mixing(spark, sf_dir):
     mixed = mixing.mix(_read(spark, sf_dir, "documents"), with_schedule=True)
     return mixed.select("slot", "source", "epoch", "block", "doc_id", "start_token", "end_token", "text")
@@ -43,5 +47,5 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.expand_turns(_read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_pii, op4_minhash_near_dedup, op5_line_dedup, op7_source_mixing, op9_nearest_neighbours, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_pii, op4_minhash_near_dedup, op5_line_dedup, op6_quality_classifier, op7_source_mixing, op9_nearest_neighbours, op10_chat_formatting)}
 ORACLES = {"op5_line_dedup": linededup.ORACLE, "op7_source_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE}
