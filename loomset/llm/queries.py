@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomset.llm import chat, gam, linededup, minhash, mixing, permutation, pii, quality_rules, spm
+from loomset.llm import chaining, chat, gam, linededup, minhash, mixing, permutation, pii, quality_rules, spm
 
 
 def _read(spark, sf_dir, name):
@@ -39,6 +39,10 @@ def op7_source_mixing(spark, sf_dir):
     return mixed.select("slot", "source", "epoch", "block", "doc_id", "start_token", "end_token", "text")
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return chaining.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op9_nearest_neighbours(spark, sf_dir):
     return permutation.neighbours(_read(spark, sf_dir, "embeddings"))
 
@@ -47,5 +51,5 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.expand_turns(_read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_pii, op4_minhash_near_dedup, op5_line_dedup, op6_quality_classifier, op7_source_mixing, op9_nearest_neighbours, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_pii, op4_minhash_near_dedup, op5_line_dedup, op6_quality_classifier, op7_source_mixing, op8_substring_dedup, op9_nearest_neighbours, op10_chat_formatting)}
 ORACLES = {"op5_line_dedup": linededup.ORACLE, "op7_source_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE}
