@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,26 +26,5 @@ def query(sql: str | None = None):
     return add
 
 
-@query("""
-WITH c AS (SELECT quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY quality),
-t AS (SELECT *, n / sum(n) OVER () AS p, count(*) OVER () AS k, max(n) OVER () AS hi, min(n) OVER () AS lo FROM c)
-SELECT CAST(any_value(k) AS BIGINT) AS n_classes, CAST(sum(n) AS BIGINT) AS n_rows,
-  round(CASE WHEN any_value(k) <= 1 THEN 1.0 ELSE -sum(p * ln(p)) / ln(any_value(k)) END, 6) AS balance,
-  round(any_value(hi) / any_value(lo), 6) AS imbalance FROM t
-""")
-def q_class_balance(spark, sf_dir):
-    joined = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
-    counts = joined.groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_classes"), F.max("n").alias("hi"), F.min("n").alias("lo"))
-    share = F.col("n") / F.col("n_rows")
-    return (
-        counts.crossJoin(total)
-        .groupBy("n_classes", "n_rows", "hi", "lo")
-        .agg(F.sum(share * F.ln(share)).alias("h"))
-        .select(
-            "n_classes",
-            "n_rows",
-            F.round(F.when(F.col("n_classes") <= 1, F.lit(1.0)).otherwise(-F.col("h") / F.ln("n_classes")), 6).alias("balance"),
-            F.round(F.col("hi") / F.col("lo"), 6).alias("imbalance"),
-        )
-    )
+# the modules register their queries when they are imported
+from loomset.plans import analytics, mutations, relations, views  # noqa: E402, F401
