@@ -32,14 +32,15 @@ def shard_of_batches(sizes: DataFrame, target: int, batch: str = "batch", size:
     return sizes.join(sizes.sparkSession.createDataFrame(rows, f"{batch} bigint, shard bigint"), batch)
 
 
-def write(df: DataFrame, path: str, *, order: list | None = None, batch_size: int = 1000, shard_bytes: int | None = None, compression: str = "zstd", lineage: dict | None = None) -> dict:
+def write(df: DataFrame, path: str, *, order: list | None = None, drop: list = (), batch_size: int = 1000, shard_bytes: int | None = None, compression: str = "zstd", lineage: dict | None = None) -> dict:
     """Write ``df`` as shards under ``path`` with dense row ids in ``order``, publish it in one rename, return the manifest.
 
     Works on folders that this process can rename, as on a shared mount; an existing table at ``path`` is an error.
     """
     if Path(path).exists():
         raise FileExistsError(path)
-    rows = with_positions(df, *(order or []), name=ROW)
+    rows = with_positions(df, *(order or []), name=ROW).drop(*drop)
+    df = df.drop(*drop)
     if shard_bytes is None:
         rows = rows.withColumn(SHARD, F.lit(0).cast("long"))
     else:
