@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomset.llm import textkit
+from loomset.llm import common, textkit
 from loomset.session import checkpointed, shuffle_partitions
 
 #: Bits of filter per hash and hash functions: about 0.05 % false positives.
@@ -175,18 +175,18 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", length
         suspected = some.mapInArrow(_all_lines, shape).join(owned.select(F.explode("suspects").alias("h")), "h", "left_semi")
     suspected = suspected.select("k", "n", "line")
     first = suspected.groupBy("line").agg(F.min(F.struct("k", "n")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("line", "f")
-    drops = suspected.join(first, "line").where("k != f.k or n != f.n").groupBy(F.col("k").alias("__key")).agg(F.collect_set("n").alias("__drop"))
-    joined = docs.join(drops, docs[key] == drops["__key"], "left")
+    k, drop, new = (common.fresh(docs, c) for c in ("drop_key", "drop_lines", "new_text"))
+    drops = suspected.join(first, "line").where("k != f.k or n != f.n").groupBy(F.col("k").alias(k)).agg(F.collect_set("n").alias(drop))
     lines = F.split(docs[text], "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
-    new = F.when(F.col("__drop").isNull(), docs[text]).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    out = joined.withColumn("__new", new)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
+    out = docs.join(drops, docs[key] == F.col(k), "left")
+    out = out.withColumn(new, F.when(F.col(drop).isNull(), docs[text]).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")))
     columns = []
     for c in docs.columns:
         if c == text:
-            columns.append(F.col("__new").alias(c))
+            columns.append(F.col(new).alias(c))
         elif c == length:
-            columns.append(F.when(F.col("__drop").isNull(), docs[c]).otherwise(F.length("__new")).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(F.col(drop).isNull(), docs[c]).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c))
         else:
             columns.append(docs[c])
     return out.select(*columns)

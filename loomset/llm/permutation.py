@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loomset.session import checkpointed
 
-K, SEED = 10, 11
+K, SEED, LEAST_PIVOTS = 10, 11, 128
 #: Shares of the pivots that a vector is listed by, posted under, and asks; share of a file that is reranked, and the least number.
 LISTED, POSTED, ASKED, SHARE, LEAST = 0.5, 3 / 32, 5 / 64, 0.03, 20
 #: Postings of one block of a file.
@@ -25,9 +25,10 @@ BLOCK = 16_384
 
 
 def pivots(dim: int, seed: int = SEED) -> np.ndarray:
-    """2 * dim unit vectors: the axes of a random rotation and their opposites."""
-    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))[0]
-    return np.vstack([q, -q]).astype(np.float32)
+    """Unit vectors: the axes of a random rotation and their opposites; of several rotations, if one gives fewer than LEAST_PIVOTS."""
+    random = np.random.default_rng(seed)
+    axes = [np.linalg.qr(random.normal(size=(dim, dim)))[0] for _ in range(-(-LEAST_PIVOTS // (2 * dim)))]
+    return np.vstack([a for q in axes for a in (q, -q)]).astype(np.float32)
 
 
 def sizes(p: int) -> tuple[int, int, int]:
@@ -57,8 +58,7 @@ def footrule(ranks: np.ndarray, asked: np.ndarray, listed: int) -> np.ndarray:
 
 
 def _posted(dim: int):
-    p = 2 * dim
-    listed, posted, asked = sizes(p)
+    listed, posted, asked = sizes(len(pivots(dim)))
 
     def run(batches):
         for b in batches:
@@ -79,7 +79,7 @@ def _posted(dim: int):
 
 
 def _answered(dim: int, k: int, share: float, least: int):
-    p = 2 * dim
+    p = len(pivots(dim))
     listed, _, _ = sizes(p)
 
     def run(t: pa.Table) -> pa.Table:
@@ -132,7 +132,7 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     where = F.when(F.col("nb") == 1, F.array(F.when(F.col("asks"), place(F.lit(0), F.lit(0), 3)).otherwise(place(F.lit(0), F.lit(0), 1)))).otherwise(
         F.concat(F.transform(each, lambda i: place(own, i, 1)), F.when(F.col("asks"), F.transform(each, lambda i: place(i, own, 2))).otherwise(none))
     )
-    # at most 2 * dim rows, a number that doesn't grow with the table
+    # at most a row a pivot, a number that doesn't grow with the table
     placed = posts.join(F.broadcast(files), "p").select("p", "k", "head", "vec", F.explode(where).alias("w")).select("p", "w.ob", "w.qb", "w.role", "k", "head", "vec")
     found = placed.groupBy("p", "ob", "qb").applyInArrow(_answered(dim, k, share, least), "vec_id bigint, neighbour_id bigint, similarity double")
     merged = found.groupBy("vec_id", "neighbour_id").agg(F.max("similarity").alias("similarity"))

@@ -375,7 +375,7 @@ def findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             doc, a, z, y = find(crf.value, texts)
             rows, at = np.unique(doc, return_index=True)
             lists, new = [], []
-            for r, lo, hi in zip(rows.tolist(), at.tolist(), [*at[1:].tolist(), len(doc)], strict=True):
+            for r, lo, hi in zip(rows.tolist(), at.tolist(), [*at.tolist(), len(doc)][1:], strict=True):
                 spans = list(zip(a[lo:hi].tolist(), z[lo:hi].tolist(), y[lo:hi].tolist(), strict=True))
                 chars = char_offsets(np.frombuffer(texts[r], np.uint8))
                 lists.append([{"kind": LABELS[k], "start": int(chars[s]), "stop": int(chars[e])} for s, e, k in spans])
