@@ -134,6 +134,8 @@ def _probing(filters: dict[int, bytes], slots: int):
 
         def kept(h: np.ndarray) -> np.ndarray:
             out = np.zeros(len(h), bool)
+            if not len(h):
+                return out
             slot = _slot(h, slots)
             order = np.argsort(slot, kind="stable")
             which, at = np.unique(slot[order], return_index=True)

@@ -133,8 +133,26 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
         F.concat(F.transform(each, lambda i: place(own, i, 1)), F.when(F.col("asks"), F.transform(each, lambda i: place(i, own, 2))).otherwise(none))
     )
     # at most a row a pivot, a number that doesn't grow with the table
-    placed = posts.join(F.broadcast(files), "p").select("p", "k", "head", "vec", F.explode(where).alias("w")).select("p", "w.ob", "w.qb", "w.role", "k", "head", "vec")
-    found = placed.groupBy("p", "ob", "qb").applyInArrow(_answered(dim, k, share, least), "vec_id bigint, neighbour_id bigint, similarity double")
-    merged = found.groupBy("vec_id", "neighbour_id").agg(F.max("similarity").alias("similarity"))
+    files = F.broadcast(files)
+    shape = "vec_id bigint, neighbour_id bigint, similarity double"
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour_id"))
-    return merged.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+    def answers(rows: DataFrame) -> DataFrame:
+        placed = rows.join(files, "p").select("p", "k", "head", "vec", F.explode(where).alias("w")).select("p", "w.ob", "w.qb", "w.role", "k", "head", "vec")
+        return placed.groupBy("p", "ob", "qb").applyInArrow(_answered(dim, k, share, least), shape)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        merged = found.groupBy("vec_id", "neighbour_id").agg(F.max("similarity").alias("similarity"))
+        return merged.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+    near = checkpointed(ranked(answers(posts)))
+    # a vector whose files hold too few others asks all files, and so meets every vector
+    n = posts.select("k").distinct().count()
+    served = near.groupBy("vec_id").agg(F.count(F.lit(1)).alias("served"))
+    lacking = posts.dropDuplicates(["k"]).join(served, F.col("k") == F.col("vec_id"), "left").where(F.coalesce("served", F.lit(0)) < min(k, n - 1)).select("k", "head", "vec")
+    lacking = checkpointed(lacking)
+    if lacking.isEmpty():
+        return near
+    asking = lacking.select(F.explode(F.sequence(F.lit(0), F.lit(len(pivots(dim)) - 1))).alias("p"), F.lit(True).alias("asks"), "k", "head", "vec")
+    listed = posts.withColumn("asks", F.lit(False)).unionByName(asking)
+    return ranked(near.drop("rank").unionByName(answers(listed)))
