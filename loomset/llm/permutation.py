@@ -126,11 +126,12 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     posts = checkpointed(one.mapInArrow(_posted(dim), "p int, asks boolean, k bigint, head binary, vec binary"))
     files = posts.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
     own = F.pmod(F.xxhash64("k"), F.col("nb")).cast("int")
-    place = lambda o, q, role: F.struct(o.cast("int").alias("ob"), q.cast("int").alias("qb"), F.lit(role).alias("role"))
+    place = lambda o, q, role: F.struct(o.cast("int").alias("ob"), q.cast("int").alias("qb"), role.cast("int").alias("role"))
     each = F.sequence(F.lit(0), F.col("nb") - 1)
     none = F.array().cast("array<struct<ob:int,qb:int,role:int>>")
-    where = F.when(F.col("nb") == 1, F.array(F.when(F.col("asks"), place(F.lit(0), F.lit(0), 3)).otherwise(place(F.lit(0), F.lit(0), 1)))).otherwise(
-        F.concat(F.transform(each, lambda i: place(own, i, 1)), F.when(F.col("asks"), F.transform(each, lambda i: place(i, own, 2))).otherwise(none))
+    role = F.when(F.col("posts"), 1).otherwise(0) + F.when(F.col("asks"), 2).otherwise(0)
+    where = F.when(F.col("nb") == 1, F.array(place(F.lit(0), F.lit(0), role))).otherwise(
+        F.concat(F.when(F.col("posts"), F.transform(each, lambda i: place(own, i, F.lit(1)))).otherwise(none), F.when(F.col("asks"), F.transform(each, lambda i: place(i, own, F.lit(2)))).otherwise(none))
     )
     # at most a row a pivot, a number that doesn't grow with the table
     files = F.broadcast(files)
@@ -145,7 +146,7 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
         merged = found.groupBy("vec_id", "neighbour_id").agg(F.max("similarity").alias("similarity"))
         return merged.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
-    near = checkpointed(ranked(answers(posts)))
+    near = checkpointed(ranked(answers(posts.withColumn("posts", F.lit(True)))))
     # a vector whose files hold too few others asks all files, and so meets every vector
     n = posts.select("k").distinct().count()
     served = near.groupBy("vec_id").agg(F.count(F.lit(1)).alias("served"))
@@ -153,6 +154,6 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     lacking = checkpointed(lacking)
     if lacking.isEmpty():
         return near
-    asking = lacking.select(F.explode(F.sequence(F.lit(0), F.lit(len(pivots(dim)) - 1))).alias("p"), F.lit(True).alias("asks"), "k", "head", "vec")
-    listed = posts.withColumn("asks", F.lit(False)).unionByName(asking)
+    asking = lacking.select(F.explode(F.sequence(F.lit(0), F.lit(len(pivots(dim)) - 1))).alias("p"), F.lit(False).alias("posts"), F.lit(True).alias("asks"), "k", "head", "vec")
+    listed = posts.withColumn("posts", F.lit(True)).withColumn("asks", F.lit(False)).unionByName(asking)
     return ranked(near.drop("rank").unionByName(answers(listed)))
