@@ -277,14 +277,14 @@ def test_edits():
     assert chaining.edits(np.array([1, 2]), np.array([], int)) == 2
 
 
-@pytest.mark.parametrize("limit", [1 << 30, -1])
-def test_substring_dedup(spark, odd, empty, clashing, prose, limit):
+@pytest.mark.parametrize(("limit", "slot"), [(1 << 30, 1 << 30), (-1, 40)])
+def test_substring_dedup(spark, odd, empty, clashing, prose, limit, slot):
     passage = prose(1000, 70).split()
     fuzzy = [w if i % 11 else "changed" for i, w in enumerate(passage)]
     rows = [(0, f"{prose(1, 40)} {' '.join(passage)} {prose(2, 40)}", "en", "s", 1), (1, f"{prose(3, 90)} {' '.join(passage).upper()}, {prose(4, 10)}", "en", "s", 1), (2, f"{' '.join(fuzzy)} {prose(5, 30)}", "en", "s", 1)]
     rows += [(3, prose(6, 200), "en", "s", 1), (4, " ".join(passage[:30]), "en", "s", 1), (5, "same " * 120, "en", "s", 1), (6, "same " * 80, "en", "s", 1)]
     rows += [(7, prose(6, 200), "en", "s", 1)]
-    out = {r["doc_id"]: r for r in chaining.repeated_passages(clashing(odd(rows)), broadcast_limit=limit).collect()}
+    out = {r["doc_id"]: r for r in chaining.repeated_passages(clashing(odd(rows)), broadcast_limit=limit, slot_limit=slot).collect()}
     assert set(out) == {1, 2, 6, 7}
     assert (out[1]["start_word"], out[1]["end_word"], out[1]["ref_id"], out[1]["ref_start"], out[1]["identity"]) == (90, 160, 0, 40, 1.0)
     assert out[2]["start_word"] <= 1 and out[2]["end_word"] >= 65 and 0.85 < out[2]["identity"] < 0.95
