@@ -42,7 +42,7 @@ def q_index_negative(spark, sf):
     return e.where(F.col("event_id") == n - 1)
 
 
-@query("SELECT v.slot, e.event_id, e.event_type FROM (VALUES (0, 17), (1, 3), (2, 17), (3, 950), (4, 0)) v(slot, id) JOIN events e ON e.event_id = v.id")
+@query("SELECT v.slot, e.event_id, e.event_type FROM (VALUES (0::BIGINT, 17), (1, 3), (2, 17), (3, 950), (4, 0)) v(slot, id) JOIN events e ON e.event_id = v.id")
 def q_select_indices(spark, sf):
     return selection.at_indices(table(spark, sf, "events"), [17, 3, 17, 950, 0], pos="event_id").select("slot", "event_id", "event_type")
 
