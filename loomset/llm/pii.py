@@ -97,27 +97,43 @@ def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 USED = [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (0, -1), (0, 1), (2, -1), (2, 1), (3, -1), (4, 1), (5, 0), (5, -1), (5, 1)]
 
 
+class _Table:
+    """Places of hashes in a sorted array: a table by their upper bits, and a search for those whose slot is taken."""
+
+    BITS = 17
+
+    def __init__(self, known: np.ndarray):
+        self.known, self.shift = known, np.uint64(64 - self.BITS)
+        slot = (known >> self.shift).astype(np.int64)
+        self.slots = np.full(1 << self.BITS, -1, np.int32)
+        self.slots[slot[::-1]] = np.arange(len(known), dtype=np.int32)[::-1]
+        spilled = np.flatnonzero(self.slots[slot] != np.arange(len(known)))
+        self.spilled, self.places = known[spilled], spilled
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, or the number of known ones."""
+        if not len(self.known):
+            return np.zeros(len(h), np.int64)
+        at = self.slots[(h >> self.shift).astype(np.int64)]
+        hit = (at >= 0) & (self.known[at] == h)
+        out = np.where(hit, at, len(self.known)).astype(np.int64)
+        more = np.flatnonzero((at >= 0) & ~hit) if len(self.spilled) else ()
+        if len(more):
+            k = np.minimum(np.searchsorted(self.spilled, h[more]), len(self.spilled) - 1)
+            out[more] = np.where(self.spilled[k] == h[more], self.places[k], len(self.known))
+        return out
+
+
 class Crf:
     """Dictionaries of the base features, emission weights by used feature, transitions, and weights of the first label."""
 
     def __init__(self, known: list[np.ndarray], emission: list[np.ndarray], transition: np.ndarray, first: np.ndarray):
         self.known, self.emission, self.transition, self.first = known, emission, transition, first
-        self.tables = []
-        for h in known:
-            bits = 16
-            while bits < 24 and len(np.unique(h >> np.uint64(64 - bits))) < len(h):
-                bits += 1
-            table = np.full(1 << bits, -1, np.int64)
-            table[h >> np.uint64(64 - bits)] = np.arange(len(h))
-            self.tables.append((np.uint64(64 - bits), table))
+        self.tables = [_Table(h) for h in known]
 
     def ids(self, f: np.ndarray) -> list[np.ndarray]:
         """Number of each base feature, or that of the row of zeros."""
-        out = []
-        for h, known, (shift, table) in zip(f, self.known, self.tables, strict=True):
-            at = table[h >> shift]
-            out.append(np.where((at >= 0) & (known[at] == h), at, len(known)))
-        return out
+        return [table.find(h) for h, table in zip(f, self.tables, strict=True)]
 
     def emissions(self, ids: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
         n = len(doc)
