@@ -272,6 +272,39 @@ def test_chains_against_brute_force():
         assert got == best or got >= 0.8 * best
 
 
+def test_chains_try_every_predecessor():
+    def links(frags):
+        return sorted(len(c) - 1 for c in chaining.chains(frags))
+
+    second = [(1200 + 11 * i, 1200 + 11 * i, 10) for i in range(20)]
+    assert links(second) == [19] and links([(0, 0, 1000), *second]) == [0, 19]
+
+    def best(frags):
+        score = []
+        for i, (s, r, w) in enumerate(frags):
+            gains = [0.0]
+            for j, (a, b, c) in enumerate(frags[:i]):
+                x, y = s - a - c, r - b - c
+                over = max(0, -x, -y)
+                if over < min(chaining.K, w) and max(x, y) <= chaining.MAX_GAP and a < s and b < r:
+                    gains.append(score[j] - chaining.GAP_COST * (x + y) - over)
+            score.append(w + max(gains))
+        return max(score)
+
+    def got(frags, chain):
+        total = frags[chain[0]][2]
+        for i, j in zip(chain, chain[1:], strict=False):
+            (a, b, c), (s, r, w) = frags[i], frags[j]
+            total += w - chaining.GAP_COST * (s - a - c + r - b - c) - max(0, a + c - s, b + c - r)
+        return total
+
+    r = random.Random(5)
+    for n in range(200):
+        far = [(0, r.randrange(100), 300)] if n % 2 else []
+        frags = sorted({*far, *((330 + r.randrange(400), 330 + r.randrange(400), r.randint(6, 20)) for _ in range(r.randint(1, 40)))})
+        assert max(got(frags, c) for c in chaining.chains(frags)) == best(frags)
+
+
 def test_edits():
     assert chaining.edits(np.array([1, 2, 3, 4]), np.array([1, 3, 4, 5])) == 2
     assert chaining.edits(np.array([1, 2]), np.array([], int)) == 2
