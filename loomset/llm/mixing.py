@@ -25,7 +25,7 @@ from loomset.session import checkpointed
 
 PHI = 0x9E3779B97F4A7C15
 BLOCK, ALPHA, SEED = 512, 0.9, "mix-1"
-#: Slots of one chunk, and slots above the expected number in which each source must reach its last block.
+#: Slots of one chunk, and slots above the expected number that are tried first for every source to reach its last block.
 CHUNK_SLOTS, SPARE = 1 << 16, 256
 MAX_SOURCES = 100_000
 
@@ -103,16 +103,24 @@ def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     ppm = [max(1, int(1e6 * x / sum(raw))) for x in raw]
     cuts, blocks = np.cumsum(ppm), [-(-t // block_tokens) for _, t in totals]
     slots = max(-(-b * int(cuts[-1]) // p) for b, p in zip(blocks, ppm, strict=True)) + SPARE
-    chunks = spark.range(-(-slots // CHUNK_SLOTS)).select(F.col("id").alias("chunk"))
-    counts = chunks.mapInArrow(_served(cuts, False), "chunk bigint, i bigint, n bigint")
+    counts, have, lacking = None, [0] * len(totals), True
+    first = 0
+    while lacking:
+        last = -(-slots // CHUNK_SLOTS)
+        chunks = spark.range(first, last).select(F.col("id").alias("chunk"))
+        more = checkpointed(chunks.mapInArrow(_served(cuts, False), "chunk bigint, i bigint, n bigint"))
+        for r in more.groupBy("i").agg(F.sum("n").alias("n")).toLocalIterator():
+            have[r["i"]] += r["n"]
+        counts, first = more if counts is None else counts.unionByName(more), last
+        # a light source's points come late by up to a few times 1 / weight slots
+        lacking = [(b - n + 1) * int(cuts[-1]) // p for b, n, p in zip(blocks, have, ppm, strict=True) if n < b]
+        slots = last * CHUNK_SLOTS + max(lacking, default=0)
     ahead = Window.partitionBy("i").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).groupBy("chunk").agg(F.collect_list(F.struct("i", "before")).alias("bases"))
     sources = spark.createDataFrame([(i, s, b) for i, ((s, _), b) in enumerate(zip(totals, blocks, strict=True))], "i bigint, s string, b bigint")
     ranked = checkpointed(bases.mapInArrow(_served(cuts, True), "slot bigint, i bigint, r bigint").join(F.broadcast(sources), "i"))
-    end = ranked.where("r = b - 1").agg(F.max("slot"), F.count(F.lit(1))).first()
-    if end[1] < len(totals):
-        raise RuntimeError("a source didn't reach its last block within the spare slots")
-    served = ranked.where(F.col("slot") <= end[0]).select("slot", "s", F.floor(F.col("r") / F.col("b")).alias("epoch"), (F.col("r") % F.col("b")).alias("block"))
+    end = ranked.where("r = b - 1").agg(F.max("slot")).first()[0]
+    served = ranked.where(F.col("slot") <= end).select("slot", "s", F.floor(F.col("r") / F.col("b")).alias("epoch"), (F.col("r") % F.col("b")).alias("block"))
 
     groups = sized.groupBy("s", "g").agg(F.sum("n").alias("t"))
     base = groups.select("s", "g", F.coalesce(F.sum("t").over(Window.partitionBy("s").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))

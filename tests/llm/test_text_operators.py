@@ -109,6 +109,21 @@ def test_mixing_gives_back_every_text(spark, odd, empty, clashing, prose):
     assert {r["source"] for r in mixing.mix(docs, weights={"s1": 1.0}).collect()} == {"s1"}
 
 
+def test_a_source_of_a_few_tokens_is_served(spark):
+    sizes = {"a": 81842, "b": 2310089, "c": 3, "d": 15927}
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())], "doc_id bigint, text string, source string")
+    raw = {s: n**mixing.ALPHA for s, n in sizes.items()}
+    cuts = np.cumsum([max(1, int(1e6 * x / sum(raw.values()))) for x in raw.values()])
+    served = np.searchsorted(cuts, mixing.points(0, 1 << 20, int(cuts[-1])), side="right")
+    end = max(np.flatnonzero(served == i)[-(-n // mixing.BLOCK) - 1] for i, n in enumerate(sizes.values()))
+    got = {(r["slot"], r["source"]) for r in mixing.schedule(docs).collect()}
+    assert got == {(i, "abcd"[s]) for i, s in enumerate(served[: end + 1].tolist())}
+    blocks = {s: set() for s in sizes}
+    for r in mixing.schedule(docs).select("source", "block").distinct().collect():
+        blocks[r["source"]].add(r["block"])
+    assert {s: len(b) for s, b in blocks.items()} == {s: -(-n // mixing.BLOCK) for s, n in sizes.items()}
+
+
 def test_points_follow_the_weights():
     p = mixing.points(0, 10_000, 1_000_000)
     for hi in (1_000, 250_000, 700_000):
