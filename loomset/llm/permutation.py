@@ -3,7 +3,8 @@
 A vector is represented by the list of its nearest pivots in order. Pivots are the axes of a random rotation, in both
 directions, so they need no sample, don't grow with the table, and half of them, as a list, hold most of what a vector's
 direction is. Each vector is posted in the inverted files of its first pivots and asks those of its own first pivots; a file
-ranks its postings by the footrule distance of the lists, and the nearest share is reranked by the exact cosine.
+ranks all its postings by the exact cosine. With a ``share`` below 1 only the nearest by the footrule distance of the lists are ranked
+so, which loses neighbours in tight clusters, whose members have almost the same lists.
 Every row is a query. Files above a size are cut into blocks of postings times blocks of queries, so a hot pivot
 is many tasks.
 """
@@ -19,7 +20,7 @@ from loomset.session import checkpointed
 
 K, SEED, LEAST_PIVOTS = 10, 11, 128
 #: Shares of the pivots that a vector is listed by, posted under, and asks; share of a file that is reranked, and the least number.
-LISTED, POSTED, ASKED, SHARE, LEAST = 0.5, 3 / 32, 5 / 64, 0.03, 20
+LISTED, POSTED, ASKED, SHARE, LEAST = 0.5, 3 / 32, 5 / 64, 1.0, 20
 #: Postings of one block of a file.
 BLOCK = 16_384
 
@@ -88,17 +89,19 @@ def _answered(dim: int, k: int, share: float, least: int):
         head = np.frombuffer(b"".join(t["head"].to_pylist()), np.uint16).reshape(-1, listed)
         vec = np.frombuffer(b"".join(t["vec"].to_pylist()), np.float32).reshape(-1, dim)
         o, q = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-        ranks = np.full((p, len(o)), listed, np.uint16)
-        ranks[head[o], np.arange(len(o))[:, None]] = np.arange(listed, dtype=np.uint16)
         keep = min(len(o), max(least, int(np.ceil(share * len(o)))) + 1)
+        if keep < len(o):
+            ranks = np.full((p, len(o)), listed, np.uint16)
+            ranks[head[o], np.arange(len(o))[:, None]] = np.arange(listed, dtype=np.uint16)
         mine = np.ascontiguousarray(vec[o].T)
         left, right, near = [], [], []
         for a in range(0, len(q) if len(o) else 0, 64):
             rows = q[a : a + 64]
-            f = footrule(ranks, head[rows], listed)
-            edge = np.partition(f, keep - 1, axis=1)[:, keep - 1]
             sims = vec[rows] @ mine
-            sims[f > edge[:, None]] = -np.inf
+            if keep < len(o):
+                f = footrule(ranks, head[rows], listed)
+                edge = np.partition(f, keep - 1, axis=1)[:, keep - 1]
+                sims[f > edge[:, None]] = -np.inf
             sims[ids[rows][:, None] == ids[o][None, :]] = -np.inf
             some = min(k, len(o))
             best = np.partition(sims, len(o) - some, axis=1)[:, len(o) - some]

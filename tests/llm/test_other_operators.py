@@ -23,6 +23,22 @@ def test_neighbours_recall_and_odd_rows(spark):
     assert {(r["vec_id"], r["neighbour_id"], r["rank"]) for r in two} == {(1, 2, 1), (2, 1, 1)}
 
 
+def test_recall_on_tight_clusters(spark):
+    r = np.random.default_rng(7)
+    centre = r.normal(size=64)
+    centre /= np.linalg.norm(centre)
+    random = r.normal(size=(750, 64))
+    for x in (centre + 0.05 * r.normal(size=(1500, 64)), centre + 0.02 * r.normal(size=(1500, 64)), np.vstack([centre + 0.05 * r.normal(size=(750, 64)), random])):
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        s = u @ u.T
+        np.fill_diagonal(s, -9)
+        want = np.argsort(-s, axis=1)[:, :10]
+        out = permutation.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).toPandas()
+        got = out.groupby("vec_id").neighbour_id.apply(set)
+        recall = [len(got[i] & set(want[i])) / 10 for i in range(len(x))]
+        assert np.mean(recall) >= 0.95 and np.mean(recall[:750]) >= 0.95
+
+
 def test_footrule_against_brute_force():
     r = np.random.default_rng(1)
     p, listed = 12, 6
