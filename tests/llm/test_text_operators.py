@@ -338,3 +338,15 @@ def test_substring_dedup(spark, odd, empty, clashing, prose, limit, slot):
     assert out[2]["start_word"] <= 1 and out[2]["end_word"] >= 65 and 0.85 < out[2]["identity"] < 0.95
     assert (out[7]["ref_id"], out[7]["n_words"]) == (3, 200)
     assert chaining.repeated_passages(empty).count() == 0
+
+
+@pytest.mark.parametrize("together", [False, True])
+def test_seeds_that_earlier_documents_have_singly(spark, odd, prose, together):
+    passage = prose(2000, 120).split()
+    runs = [passage[i : i + 11] for i in range(0, 120, 12)]
+    singly = [f"{prose(3000 + i, 30)} {' '.join(run)}" for i, run in enumerate(runs)][::-1]
+    rows = [(i, text, "en", "s", 1) for i, text in enumerate([" ".join(singly)] if together else singly)]
+    fuzzy = " ".join(w if i % 12 < 11 else f"changed{i}" for i, w in enumerate(passage))
+    rows += [(20, f"{prose(1, 40)} {' '.join(passage)}", "en", "s", 1), (21, f"{prose(2, 40)} {fuzzy} {prose(4, 40)}", "en", "s", 1)]
+    (out,) = chaining.repeated_passages(odd(rows)).collect()
+    assert (out["doc_id"], out["ref_id"]) == (21, 20) and out["start_word"] <= 52 and out["end_word"] >= 147
