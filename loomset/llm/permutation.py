@@ -58,11 +58,13 @@ def footrule(ranks: np.ndarray, asked: np.ndarray, listed: int) -> np.ndarray:
     return out
 
 
-def _posted(dim: int):
-    listed, posted, asked = sizes(len(pivots(dim)))
-
-    def run(batches):
-        for b in batches:
+def _posted(batches):
+    """Each vector under its first pivots, which are those of its dimension."""
+    for batch in batches:
+        length = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        for dim in np.unique(length).tolist():
+            listed, posted, asked = sizes(len(pivots(dim)))
+            b = batch.filter(pa.array(length == dim))
             flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             norm = np.linalg.norm(flat, axis=1)
             ok = np.isfinite(norm) & (norm > 0)
@@ -74,16 +76,14 @@ def _posted(dim: int):
             head = pa.array([r.tobytes() for r in order[:, :listed].astype(np.uint16)], pa.binary())
             vec = pa.array([r.tobytes() for r in x], pa.binary())
             at = pa.array(own)
-            yield pa.RecordBatch.from_arrays([pa.array(order[:, :posted].ravel().astype(np.int32)), pa.array(rank < asked), ids.take(at), head.take(at), vec.take(at)], ["p", "asks", "k", "head", "vec"])
-
-    return run
-
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), dim, np.int32)), pa.array(order[:, :posted].ravel().astype(np.int32)), pa.array(rank < asked), ids.take(at), head.take(at), vec.take(at)], ["dim", "p", "asks", "k", "head", "vec"])
 
-def _answered(dim: int, k: int, share: float, least: int):
-    p = len(pivots(dim))
-    listed, _, _ = sizes(p)
 
+def _answered(k: int, share: float, least: int):
     def run(t: pa.Table) -> pa.Table:
+        dim = t["dim"][0].as_py()
+        p = len(pivots(dim))
+        listed, _, _ = sizes(p)
         role = t["role"].to_numpy()
         ids = t["k"].to_numpy()
         head = np.frombuffer(b"".join(t["head"].to_pylist()), np.uint16).reshape(-1, listed)
@@ -118,16 +118,15 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     """Rows (vec_id, neighbour_id, similarity, rank): of each vector the ``k`` nearest others by cosine, found approximately.
 
     Cases: vectors that are null, empty, of zero length, or have null or infinite elements, have no neighbours and are
-    nobody's; so have rows with a null key and those whose vectors are shorter than the table's longest. Of rows that
-    repeat a key the least vector counts. Equal similarities (to six decimals) are ordered by neighbour_id. With fewer than ``k``
+    nobody's; so have rows with a null key. Vectors of different dimensions aren't neighbours of each other; each dimension
+    is searched by itself. Of rows that repeat a key the least vector counts. Equal similarities (to six decimals) are ordered by neighbour_id. With fewer than ``k``
     others there are fewer rows. Other columns are ignored. An empty table gives no rows.
     """
     some = vectors.where(vectors[key].isNotNull() & (F.size(vectors[vector]) > 0)).select(vectors[key].cast("bigint").alias("k"), vectors[vector].cast("array<double>").alias("v"))
-    dim = some.agg(F.max(F.size("v"))).first()[0] or 1
-    some = some.where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+    some = some.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
     one = some.groupBy("k").agg(F.min("v").alias("v"))
-    posts = checkpointed(one.mapInArrow(_posted(dim), "p int, asks boolean, k bigint, head binary, vec binary"))
-    files = posts.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    posts = checkpointed(one.mapInArrow(_posted, "dim int, p int, asks boolean, k bigint, head binary, vec binary"))
+    files = posts.groupBy("dim", "p").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
     own = F.pmod(F.xxhash64("k"), F.col("nb")).cast("int")
     place = lambda o, q, role: F.struct(o.cast("int").alias("ob"), q.cast("int").alias("qb"), role.cast("int").alias("role"))
     each = F.sequence(F.lit(0), F.col("nb") - 1)
@@ -136,27 +135,28 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     where = F.when(F.col("nb") == 1, F.array(place(F.lit(0), F.lit(0), role))).otherwise(
         F.concat(F.when(F.col("posts"), F.transform(each, lambda i: place(own, i, F.lit(1)))).otherwise(none), F.when(F.col("asks"), F.transform(each, lambda i: place(i, own, F.lit(2)))).otherwise(none))
     )
-    # at most a row a pivot, a number that doesn't grow with the table
+    # at most a row a pivot of each dimension, a number that doesn't grow with the table
     files = F.broadcast(files)
     shape = "vec_id bigint, neighbour_id bigint, similarity double"
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour_id"))
 
     def answers(rows: DataFrame) -> DataFrame:
-        placed = rows.join(files, "p").select("p", "k", "head", "vec", F.explode(where).alias("w")).select("p", "w.ob", "w.qb", "w.role", "k", "head", "vec")
-        return placed.groupBy("p", "ob", "qb").applyInArrow(_answered(dim, k, share, least), shape)
+        placed = rows.join(files, ["dim", "p"]).select("dim", "p", "k", "head", "vec", F.explode(where).alias("w")).select("dim", "p", "w.ob", "w.qb", "w.role", "k", "head", "vec")
+        return placed.groupBy("dim", "p", "ob", "qb").applyInArrow(_answered(k, share, least), shape)
 
     def ranked(found: DataFrame) -> DataFrame:
         merged = found.groupBy("vec_id", "neighbour_id").agg(F.max("similarity").alias("similarity"))
         return merged.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
     near = checkpointed(ranked(answers(posts.withColumn("posts", F.lit(True)))))
-    # a vector whose files hold too few others asks all files, and so meets every vector
-    n = posts.select("k").distinct().count()
+    # a vector whose files hold too few others asks all files of its dimension, and so meets every vector of it
+    n = posts.groupBy("dim").agg(F.countDistinct("k").alias("n"))
     served = near.groupBy("vec_id").agg(F.count(F.lit(1)).alias("served"))
-    lacking = posts.dropDuplicates(["k"]).join(served, F.col("k") == F.col("vec_id"), "left").where(F.coalesce("served", F.lit(0)) < min(k, n - 1)).select("k", "head", "vec")
+    lacking = posts.dropDuplicates(["k"]).join(served, F.col("k") == F.col("vec_id"), "left").join(n, "dim").where(F.coalesce("served", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1)).select("dim", "k", "head", "vec")
     lacking = checkpointed(lacking)
     if lacking.isEmpty():
         return near
-    asking = lacking.select(F.explode(F.sequence(F.lit(0), F.lit(len(pivots(dim)) - 1))).alias("p"), F.lit(False).alias("posts"), F.lit(True).alias("asks"), "k", "head", "vec")
+    count = F.col("dim") * 2 * F.ceil(F.lit(LEAST_PIVOTS) / (F.col("dim") * 2))
+    asking = lacking.select("dim", F.explode(F.sequence(F.lit(0), count.cast("int") - 1)).alias("p"), F.lit(False).alias("posts"), F.lit(True).alias("asks"), "k", "head", "vec")
     listed = posts.withColumn("posts", F.lit(True)).withColumn("asks", F.lit(False)).unionByName(asking)
     return ranked(near.drop("rank").unionByName(answers(listed)))

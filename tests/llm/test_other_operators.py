@@ -23,6 +23,17 @@ def test_neighbours_recall_and_odd_rows(spark):
     assert {(r["vec_id"], r["neighbour_id"], r["rank"]) for r in two} == {(1, 2, 1), (2, 1, 1)}
 
 
+def test_each_dimension_is_searched(spark):
+    x = np.random.default_rng(3).normal(size=(60, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [(100, [1.0] * 17), (200, [1.0, 0.0]), (201, [1.0, 0.1]), (202, [0.0, 1.0])]
+    schema = "vec_id bigint, embedding array<double>"
+    alone = permutation.neighbours(spark.createDataFrame(rows, schema)).collect()
+    got = permutation.neighbours(spark.createDataFrame([*rows, *odd], schema)).collect()
+    assert len(alone) == 600 and sorted(r for r in got if r["vec_id"] < 100) == sorted(alone)
+    assert {(r["vec_id"], r["neighbour_id"], r["rank"]) for r in got if r["vec_id"] >= 100} == {(200, 201, 1), (200, 202, 2), (201, 200, 1), (201, 202, 2), (202, 201, 1), (202, 200, 2)}
+
+
 def test_recall_on_tight_clusters(spark):
     r = np.random.default_rng(7)
     centre = r.normal(size=64)
