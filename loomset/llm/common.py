@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomset.session import checkpointed
+from loomset.operators.selection import with_positions
+from loomset.session import checkpointed, shuffle_partitions
+
+#: Bytes of input for each slot of hashes, and slots at most, at which a slot of 100 TB still fits a worker.
+PER_SLOT, MOST_SLOTS = 2 << 20, 1 << 16
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -21,16 +26,51 @@ def positional(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
+def slots_of(df: DataFrame) -> int:
+    """Number of slots for hashes of ``df``'s texts: it follows the size of the files read, so that a slot's hashes fit one worker.
+
+    What has no known size, such as rows from the driver, counts by the shuffle partitions alone.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = (int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    size = sum(n for n in known if n < 1 << 60)
+    return max(shuffle_partitions(df.sparkSession), min(MOST_SLOTS, size // PER_SLOT))
+
+
+def coded(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` with ``key`` as bigint, and the codes (code, key) that ``decoded`` needs; None where keys are whole numbers already.
+
+    Other keys (text, dates, decimals) are numbered in their order, so the least key has the least code.
+    """
+    if isinstance(df.schema[key].dataType, T.IntegralType):
+        return df.withColumn(key, df[key].cast("bigint")), None
+    code, old = fresh(df, "code"), fresh(df, "old_key")
+    codes = checkpointed(with_positions(df.select(df[key].alias(old)).where(F.col(old).isNotNull()).distinct(), old, name=code))
+    out = df.join(codes, df[key] == codes[old], "left").withColumn(key, F.col(code)).drop(code, old)
+    return out, codes.select(F.col(code).alias("code"), F.col(old).alias("key"))
+
+
+def decoded(df: DataFrame, codes: DataFrame | None, *columns: str) -> DataFrame:
+    """``df`` with the codes in ``columns`` turned into keys again."""
+    if codes is None:
+        return df
+    names = df.columns
+    for c in columns:
+        df = df.join(codes.select(F.col("code").alias(c), F.col("key").alias(f"__{c}")), c).drop(c).withColumnRenamed(f"__{c}", c)
+    return df.select(*names)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """Rows (y, x) of up to ``per_class`` labelled documents a class, the same ones whatever the partitioning.
 
-    The sample is bounded, so broadcasting its keys is too. A document with labels of both classes counts as 0.
-    Rows with a null key, label or text are left out.
+    The sample is bounded, so broadcasting its keys is too. A document with labels of both classes counts as 0, one whose key
+    repeats has its least text. Rows with a null key, label or text are left out.
     """
     one = labels.where(labels[key].isNotNull() & labels[label].isNotNull()).groupBy(labels[key].alias("k")).agg(F.min(labels[label].cast("int")).alias("y"))
     one = one.withColumn("o", F.xxhash64("k"))
     few = one.where("y = 0").orderBy("o", "k").limit(per_class).unionByName(one.where("y <> 0").orderBy("o", "k").limit(per_class))
-    return docs.where(docs[text].isNotNull()).select(docs[key].alias("k"), docs[text].alias("x")).join(F.broadcast(few), "k").select(F.when(F.col("y") != 0, 1).otherwise(0).alias("y"), "k", "x")
+    found = docs.where(docs[text].isNotNull()).select(docs[key].alias("k"), docs[text].alias("x")).join(F.broadcast(few), "k")
+    return found.groupBy("k").agg(F.max("y").alias("y"), F.min("x").alias("x")).select(F.when(F.col("y") != 0, 1).otherwise(0).alias("y"), "k", "x")
 
 
 def components(edges: DataFrame) -> DataFrame:

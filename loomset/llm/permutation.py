@@ -2,11 +2,11 @@
 
 A vector is represented by the list of its nearest pivots in order. Pivots are the axes of a random rotation, in both
 directions, so they need no sample, don't grow with the table, and half of them, as a list, hold most of what a vector's
-direction is. Each vector is posted in the inverted files of its first pivots and asks those of its own first pivots; a file
-ranks all its postings by the exact cosine. With a ``share`` below 1 only the nearest by the footrule distance of the lists are ranked
-so, which loses neighbours in tight clusters, whose members have almost the same lists.
-Every row is a query. Files above a size are cut into blocks of postings times blocks of queries, so a hot pivot
-is many tasks.
+direction is. Each vector is posted in the inverted files of its first pivots; a query asks those of more of its own first pivots.
+A file ranks its postings by the footrule distance of the lists and reranks them by the exact cosine in that order, a
+share at first and then as many again, until that brings no posting among a query's best: little where lists tell vectors apart,
+more in tight clusters, whose members have almost the same lists.
+Files above a size are cut into blocks of postings times blocks of queries, so a hot pivot is many tasks.
 """
 
 from __future__ import annotations
@@ -16,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomset.llm import common
 from loomset.session import checkpointed
 
 K, SEED, LEAST_PIVOTS = 10, 11, 128
-#: Shares of the pivots that a vector is listed by, posted under, and asks; share of a file that is reranked, and the least number.
-LISTED, POSTED, ASKED, SHARE, LEAST = 0.5, 3 / 32, 5 / 64, 1.0, 20
+#: Rows whose key is divisible by this are queries.
+EVERY = 20
+#: Shares of the pivots that a vector is listed by, posted under, and asks; share of a file that is reranked first, and the least number.
+LISTED, POSTED, ASKED, SHARE, LEAST = 0.5, 5 / 128, 24 / 128, 1 / 32, 24
 #: Postings of one block of a file.
 BLOCK = 16_384
 
@@ -42,41 +45,61 @@ def lists(x: np.ndarray, dim: int) -> np.ndarray:
     return np.argsort(-(x @ pivots(dim).T).round(5), axis=1, kind="stable")
 
 
-def footrule(ranks: np.ndarray, asked: np.ndarray, listed: int) -> np.ndarray:
-    """Footrule distance between lists cut at ``listed``, less what is the same for all postings of one query.
+def footrule(ranks: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Footrule distance between a query's list and those of postings, less what is the same for all postings.
 
-    A pivot outside a list has the rank ``listed``. ``ranks`` has a row for each pivot and a column for each posting. As a
+    A pivot outside a list has the list's length as rank. ``ranks`` has a row for each pivot and a column for each posting. As a
     list's ranks have a fixed sum, sum |r - s| is 2 * sum(max(r, s)) over the query's list plus a constant.
     """
-    out = np.empty((len(asked), ranks.shape[1]), np.uint16)
-    for i, pivot in enumerate(asked):
-        row, step = out[i], np.empty(ranks.shape[1], np.uint16)
-        row[:] = 0
-        for j in range(listed):
-            np.maximum(ranks[pivot[j]], np.uint16(j), out=step)
-            row += step
-    return out
+    kind = np.uint16 if len(asked) < 256 else np.uint32
+    return np.maximum(ranks[asked], np.arange(len(asked), dtype=ranks.dtype)[:, None]).sum(0, dtype=kind)
 
 
 def _posted(batches):
-    """Each vector under its first pivots, which are those of its dimension."""
+    """Each vector under the first pivots of its dimension: those it is posted under and, if it is a query, those it asks."""
     for batch in batches:
-        length = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        length = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
         for dim in np.unique(length).tolist():
             listed, posted, asked = sizes(len(pivots(dim)))
             b = batch.filter(pa.array(length == dim))
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            flat = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             norm = np.linalg.norm(flat, axis=1)
             ok = np.isfinite(norm) & (norm > 0)
             x = (flat[ok] / norm[ok, None]).astype(np.float32)
-            ids = b.column(0).filter(pa.array(ok))
+            ids, query = b.column(0).filter(pa.array(ok)), b.column(1).to_numpy(zero_copy_only=False)[ok]
             order = lists(x, dim)
-            n = len(x)
-            own, rank = np.repeat(np.arange(n), posted), np.tile(np.arange(posted, dtype=np.int32), n)
+            n = np.where(query, max(posted, asked), posted)
+            own = np.repeat(np.arange(len(x)), n)
+            rank = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
             head = pa.array([r.tobytes() for r in order[:, :listed].astype(np.uint16)], pa.binary())
             vec = pa.array([r.tobytes() for r in x], pa.binary())
             at = pa.array(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), dim, np.int32)), pa.array(order[:, :posted].ravel().astype(np.int32)), pa.array(rank < asked), ids.take(at), head.take(at), vec.take(at)], ["dim", "p", "asks", "k", "head", "vec"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(own), dim, np.int32)), pa.array(order[own, rank].astype(np.int32)), pa.array(rank < posted), pa.array(query[own] & (rank < asked)), ids.take(at), head.take(at), vec.take(at)],
+                ["dim", "p", "posts", "asks", "k", "head", "vec"],
+            )
+
+
+def nearest(q: int, ids: np.ndarray, vec: np.ndarray, mine: np.ndarray, order: np.ndarray, k: int, first: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places and similarities of the ``k`` best postings for a query of key ``q``, best first, and how many were reranked.
+
+    ``order`` has the postings by footrule distance. Each step reranks as many as all steps before; the first one that
+    brings nothing among the best is the last.
+    """
+    best, near, a, z = np.zeros(0, np.int64), np.zeros(0), 0, first
+    while a < len(order):
+        some = order[a:z]
+        some = some[ids[some] != q]
+        sims = np.append(near, (vec[some] @ mine).astype(np.float64).round(6))
+        both = np.append(best, some)
+        top = np.lexsort((ids[both], -sims))[:k]
+        full = len(best) == k
+        done = full and bool((top < k).all())
+        best, near = both[top], sims[top]
+        if done:
+            return best, near, min(z, len(order))
+        a, z = z, 2 * z
+    return best, near, len(order)
 
 
 def _answered(k: int, share: float, least: int):
@@ -84,59 +107,52 @@ def _answered(k: int, share: float, least: int):
         dim = t["dim"][0].as_py()
         p = len(pivots(dim))
         listed, _, _ = sizes(p)
-        role = t["role"].to_numpy()
-        ids = t["k"].to_numpy()
+        role, ids = t["role"].to_numpy(), t["k"].to_numpy()
         head = np.frombuffer(b"".join(t["head"].to_pylist()), np.uint16).reshape(-1, listed)
         vec = np.frombuffer(b"".join(t["vec"].to_pylist()), np.float32).reshape(-1, dim)
         o, q = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-        keep = min(len(o), max(least, int(np.ceil(share * len(o)))) + 1)
-        if keep < len(o):
-            ranks = np.full((p, len(o)), listed, np.uint16)
-            ranks[head[o], np.arange(len(o))[:, None]] = np.arange(listed, dtype=np.uint16)
-        mine = np.ascontiguousarray(vec[o].T)
+        o = o[np.argsort(ids[o])]  # postings of equal distance are taken by key
+        own, mine = ids[o], vec[o]
+        ranks = np.full((p, len(o)), listed, np.uint8 if listed < 256 else np.uint16)
+        ranks[head[o], np.arange(len(o))[:, None]] = np.arange(listed, dtype=ranks.dtype)
+        first = max(least, int(np.ceil(share * len(o))))
         left, right, near = [], [], []
-        for a in range(0, len(q) if len(o) else 0, 64):
-            rows = q[a : a + 64]
-            sims = vec[rows] @ mine
-            if keep < len(o):
-                f = footrule(ranks, head[rows], listed)
-                edge = np.partition(f, keep - 1, axis=1)[:, keep - 1]
-                sims[f > edge[:, None]] = -np.inf
-            sims[ids[rows][:, None] == ids[o][None, :]] = -np.inf
-            some = min(k, len(o))
-            best = np.partition(sims, len(o) - some, axis=1)[:, len(o) - some]
-            i, j = np.nonzero((sims >= best[:, None] - 1e-6) & (sims > -np.inf))
-            left.append(ids[rows][i])
-            right.append(ids[o][j])
-            near.append(np.einsum("ij,ij->i", vec[rows][i].astype(np.float64), vec[o][j].astype(np.float64)).round(6))
+        for i in q.tolist() if len(o) else ():
+            order = np.argsort(footrule(ranks, head[i]), kind="stable")
+            best, sims, _ = nearest(ids[i], own, mine, vec[i], order, k, first)
+            left.append(np.full(len(best), ids[i]))
+            right.append(own[best])
+            near.append(sims)
         return pa.table({"vec_id": np.concatenate([ids[:0], *left]), "neighbour_id": np.concatenate([ids[:0], *right]), "similarity": np.concatenate([np.zeros(0), *near])})
 
     return run
 
 
-def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, share: float = SHARE, least: int = LEAST, block: int = BLOCK) -> DataFrame:
-    """Rows (vec_id, neighbour_id, similarity, rank): of each vector the ``k`` nearest others by cosine, found approximately.
+def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, every: int = EVERY, share: float = SHARE, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+    """Rows (vec_id, neighbour_id, similarity, rank): of each query the ``k`` nearest other rows by cosine, found approximately.
+
+    Queries are the rows whose key is divisible by ``every`` (keys that aren't whole numbers: whose number among the sorted
+    keys is); every row is posted.
 
     Cases: vectors that are null, empty, of zero length, or have null or infinite elements, have no neighbours and are
     nobody's; so have rows with a null key. Vectors of different dimensions aren't neighbours of each other; each dimension
     is searched by itself. Of rows that repeat a key the least vector counts. Equal similarities (to six decimals) are ordered by neighbour_id. With fewer than ``k``
     others there are fewer rows. Other columns are ignored. An empty table gives no rows.
     """
-    some = vectors.where(vectors[key].isNotNull() & (F.size(vectors[vector]) > 0)).select(vectors[key].cast("bigint").alias("k"), vectors[vector].cast("array<double>").alias("v"))
+    rows, codes = common.coded(vectors.select(vectors[key].alias("k"), vectors[vector].alias("v")), "k")
+    some = rows.where(F.col("k").isNotNull() & (F.size("v") > 0)).select("k", F.col("v").cast("array<double>").alias("v"))
     some = some.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
-    one = some.groupBy("k").agg(F.min("v").alias("v"))
-    posts = checkpointed(one.mapInArrow(_posted, "dim int, p int, asks boolean, k bigint, head binary, vec binary"))
-    files = posts.groupBy("dim", "p").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
-    own = F.pmod(F.xxhash64("k"), F.col("nb")).cast("int")
-    place = lambda o, q, role: F.struct(o.cast("int").alias("ob"), q.cast("int").alias("qb"), role.cast("int").alias("role"))
-    each = F.sequence(F.lit(0), F.col("nb") - 1)
-    none = F.array().cast("array<struct<ob:int,qb:int,role:int>>")
-    role = F.when(F.col("posts"), 1).otherwise(0) + F.when(F.col("asks"), 2).otherwise(0)
-    where = F.when(F.col("nb") == 1, F.array(place(F.lit(0), F.lit(0), role))).otherwise(
-        F.concat(F.when(F.col("posts"), F.transform(each, lambda i: place(own, i, F.lit(1)))).otherwise(none), F.when(F.col("asks"), F.transform(each, lambda i: place(i, own, F.lit(2)))).otherwise(none))
-    )
+    one = some.groupBy("k").agg(F.min("v").alias("v")).select("k", (F.col("k") % every == 0).alias("asks"), "v")
+    posts = checkpointed(one.mapInArrow(_posted, "dim int, p int, posts boolean, asks boolean, k bigint, head binary, vec binary"))
+    files = posts.groupBy("dim", "p").agg(F.ceil(F.count_if("posts") / block).cast("int").alias("nb"), F.ceil(F.count_if("asks") / block).cast("int").alias("nq"))
     # at most a row a pivot of each dimension, a number that doesn't grow with the table
-    files = F.broadcast(files)
+    files = F.broadcast(files.select("dim", "p", F.greatest("nb", F.lit(1)).alias("nb"), F.greatest("nq", F.lit(1)).alias("nq")))
+    ob, qb = (F.pmod(F.xxhash64("k"), F.col(n)).cast("int") for n in ("nb", "nq"))
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda o, q, role: F.struct(o.cast("int").alias("ob"), q.cast("int").alias("qb"), F.lit(role).alias("role"))
+    none = F.array().cast("array<struct<ob:int,qb:int,role:int>>")
+    where = F.concat(F.when(F.col("posts"), F.transform(each("nq"), lambda i: place(ob, i, 1))).otherwise(none), F.when(F.col("asks"), F.transform(each("nb"), lambda i: place(i, qb, 2))).otherwise(none))
+    where = F.when((F.col("nb") == 1) & (F.col("nq") == 1), F.array(F.struct(F.lit(0).alias("ob"), F.lit(0).alias("qb"), (F.col("posts").cast("int") + 2 * F.col("asks").cast("int")).alias("role")))).otherwise(where)
     shape = "vec_id bigint, neighbour_id bigint, similarity double"
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour_id"))
 
@@ -148,15 +164,14 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
         merged = found.groupBy("vec_id", "neighbour_id").agg(F.max("similarity").alias("similarity"))
         return merged.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
-    near = checkpointed(ranked(answers(posts.withColumn("posts", F.lit(True)))))
-    # a vector whose files hold too few others asks all files of its dimension, and so meets every vector of it
+    near = checkpointed(ranked(answers(posts)))
+    # a query whose files hold too few others asks all files of its dimension, and so meets every vector of it
     n = posts.groupBy("dim").agg(F.countDistinct("k").alias("n"))
     served = near.groupBy("vec_id").agg(F.count(F.lit(1)).alias("served"))
-    lacking = posts.dropDuplicates(["k"]).join(served, F.col("k") == F.col("vec_id"), "left").join(n, "dim").where(F.coalesce("served", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1)).select("dim", "k", "head", "vec")
+    lacking = posts.where("asks").dropDuplicates(["k"]).join(served, F.col("k") == F.col("vec_id"), "left").join(n, "dim").where(F.coalesce("served", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1)).select("dim", "k", "head", "vec")
     lacking = checkpointed(lacking)
-    if lacking.isEmpty():
-        return near
-    count = F.col("dim") * 2 * F.ceil(F.lit(LEAST_PIVOTS) / (F.col("dim") * 2))
-    asking = lacking.select("dim", F.explode(F.sequence(F.lit(0), count.cast("int") - 1)).alias("p"), F.lit(False).alias("posts"), F.lit(True).alias("asks"), "k", "head", "vec")
-    listed = posts.withColumn("posts", F.lit(True)).withColumn("asks", F.lit(False)).unionByName(asking)
-    return ranked(near.drop("rank").unionByName(answers(listed)))
+    if not lacking.isEmpty():
+        count = F.col("dim") * 2 * F.ceil(F.lit(LEAST_PIVOTS) / (F.col("dim") * 2))
+        asking = lacking.select("dim", F.explode(F.sequence(F.lit(0), count.cast("int") - 1)).alias("p"), F.lit(False).alias("posts"), F.lit(True).alias("asks"), "k", "head", "vec")
+        near = ranked(near.drop("rank").unionByName(answers(posts.where("posts").withColumn("asks", F.lit(False)).unionByName(asking))))
+    return common.decoded(near, codes, "vec_id", "neighbour_id")

@@ -8,18 +8,20 @@ def test_neighbours_recall_and_odd_rows(spark):
     x = np.random.default_rng(0).normal(size=(400, 16))
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
     bad = [(None, x[0].tolist(), 1), (900, None, 1), (901, [], 1), (902, [0.0] * 16, 1), (903, [1.0], 1), (904, [float("nan")] * 16, 1), (905, [None] * 16, 1), rows[3]]
-    df = spark.createDataFrame([*rows, *bad], "vec_id bigint, embedding array<double>, k int")
+    df = spark.createDataFrame([(*r, 5, 6, 7) for r in [*rows, *bad]], "vec_id bigint, embedding array<double>, k int, v int, posts int, asks int")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -9)
     want = np.argsort(-s, axis=1)[:, :10]
     for block in (permutation.BLOCK, 40):
-        out = permutation.neighbours(df, block=block).toPandas()
+        out = permutation.neighbours(df, every=1, block=block).toPandas()
         got = out.groupby("vec_id").neighbour_id.apply(set)
         assert set(got.index) == set(range(400)) and (out.groupby("vec_id").size() == 10).all()
         assert np.mean([len(got[i] & set(want[i])) / 10 for i in range(400)]) >= 0.9
+        few = permutation.neighbours(df, block=block).toPandas()
+        assert set(few.vec_id) == set(range(0, 400, 20)) and np.mean([len(set(g.neighbour_id) & set(want[i])) / 10 for i, g in few.groupby("vec_id")]) >= 0.9
     assert permutation.neighbours(df.where("false")).count() == 0
-    two = permutation.neighbours(df.where("vec_id in (1, 2)")).collect()
+    two = permutation.neighbours(df.where("vec_id in (1, 2)"), every=1).collect()
     assert {(r["vec_id"], r["neighbour_id"], r["rank"]) for r in two} == {(1, 2, 1), (2, 1, 1)}
 
 
@@ -28,8 +30,8 @@ def test_each_dimension_is_searched(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     odd = [(100, [1.0] * 17), (200, [1.0, 0.0]), (201, [1.0, 0.1]), (202, [0.0, 1.0])]
     schema = "vec_id bigint, embedding array<double>"
-    alone = permutation.neighbours(spark.createDataFrame(rows, schema)).collect()
-    got = permutation.neighbours(spark.createDataFrame([*rows, *odd], schema)).collect()
+    alone = permutation.neighbours(spark.createDataFrame(rows, schema), every=1).collect()
+    got = permutation.neighbours(spark.createDataFrame([*rows, *odd], schema), every=1).collect()
     assert len(alone) == 600 and sorted(r for r in got if r["vec_id"] < 100) == sorted(alone)
     assert {(r["vec_id"], r["neighbour_id"], r["rank"]) for r in got if r["vec_id"] >= 100} == {(200, 201, 1), (200, 202, 2), (201, 200, 1), (201, 202, 2), (202, 201, 1), (202, 200, 2)}
 
@@ -44,30 +46,49 @@ def test_recall_on_tight_clusters(spark):
         s = u @ u.T
         np.fill_diagonal(s, -9)
         want = np.argsort(-s, axis=1)[:, :10]
-        out = permutation.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).toPandas()
+        out = permutation.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>"), every=3).toPandas()
         got = out.groupby("vec_id").neighbour_id.apply(set)
-        recall = [len(got[i] & set(want[i])) / 10 for i in range(len(x))]
-        assert np.mean(recall) >= 0.95 and np.mean(recall[:750]) >= 0.95
+        assert set(got.index) == set(range(0, len(x), 3))
+        recall = [len(got[i] & set(want[i])) / 10 for i in got.index]
+        assert np.mean(recall) >= 0.95 and np.mean(recall[:250]) >= 0.95
 
 
 def test_footrule_against_brute_force():
     r = np.random.default_rng(1)
     p, listed = 12, 6
     lists = np.stack([r.permutation(p)[:listed] for _ in range(20)])
-    ranks = np.full((p, 20), listed, np.uint16)
+    ranks = np.full((p, 20), listed, np.uint8)
     ranks[lists, np.arange(20)[:, None]] = np.arange(listed)
-    got = permutation.footrule(ranks, lists, listed).astype(int)
+    got = np.stack([permutation.footrule(ranks, q) for q in lists]).astype(int)
     full = ranks.T.astype(int)
     want = np.abs(full[:, None] - full[None]).sum(2)
     assert (np.diff(2 * got - want, axis=1) == 0).all()
 
 
+def test_only_the_share_in_order_is_reranked():
+    x = np.eye(64, dtype=np.float32)[np.zeros(4096, int)]
+    x[:, 1] = np.linspace(0, 1, 4096)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, order = np.arange(4096), np.arange(4096)
+    best, near, n = permutation.nearest(-1, ids, x, x[0], order, 10, 32)
+    assert best.tolist() == list(range(10)) and near[0] == 1 and n == 64
+    best, _, n = permutation.nearest(0, ids, x, x[0], order[::-1], 10, 32)  # lists that say the contrary: all are reranked
+    assert best.tolist() == list(range(1, 11)) and n == 4096
+
+
 def test_ties_go_by_key(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(15)], "vec_id bigint, embedding array<float>")
-    out = permutation.neighbours(df, k=3).orderBy("vec_id", "rank").collect()
+    out = permutation.neighbours(df, k=3, every=1).orderBy("vec_id", "rank").collect()
     assert [r["neighbour_id"] for r in out if r["vec_id"] == 1] == [0, 2, 3]
 
 
+def test_text_keys(spark):
+    x = np.random.default_rng(5).normal(size=(40, 8)).tolist()
+    by_number = permutation.neighbours(spark.createDataFrame(list(enumerate(x)), "vec_id bigint, embedding array<double>"), every=4).collect()
+    by_name = permutation.neighbours(spark.createDataFrame([(f"v{i:02d}", v) for i, v in enumerate(x)], "vec_id string, embedding array<double>"), every=4).collect()
+    assert sorted((f"v{a:02d}", f"v{b:02d}", s, r) for a, b, s, r in by_number) == sorted(map(tuple, by_name)) and len(by_name) == 100
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 1, "assistant", "yo"), (1, 2, None, "what"), (1, 3, "assistant", None), (2, 0, "user", "alone"), (None, 0, "assistant", "lost"), (3, None, "assistant", "first"), (3, 0, "assistant", "x" * 100_000)]
     df = spark.createDataFrame([(*r, 5, 5) for r in rows], "conv_id bigint, turn bigint, role string, text string, ms int, prompt int")
