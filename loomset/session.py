@@ -29,11 +29,17 @@ def local_session(app: str = "loomset", cores: str = "*", **conf: str) -> SparkS
     return spark
 
 
+#: Bytes of one Arrow batch, where the session doesn't say: a worker's arrays are some tens of times as large.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver imports it.
+    """Let Python workers import this package from where the driver imports it, and keep their batches small.
 
     On a cluster the package is deployed to the executors; the extra path entry is then harmless.
     """
+    if not spark.sparkContext.getConf().contains(BATCH[0]):
+        spark.conf.set(*BATCH)
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in have:
