@@ -16,27 +16,32 @@ from loomset.session import prepare, shared_folder
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated probability of good quality reaches the threshold."""
+    prepare(spark)
     return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each line only where it occurs first; documents left without text go."""
+    prepare(spark)
     out = linededup.dedup_lines(docs)
     return out.where("length(text) > 0")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least doc_id, of each group of near duplicates."""
+    prepare(spark)
     return minhash.drop_near(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of equal-token blocks, as often as the target weights ask for."""
+    prepare(spark)
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the best segmentation, the scores of the n best, and whether decoding gives the text back."""
+    prepare(spark)
     encoded = spm.encode(docs.select("doc_id", "source", "text"))
     return encoded.select("doc_id", "source", "ids", "n_tokens", "scores", "exact")
 
