@@ -32,7 +32,7 @@ def slots_of(df: DataFrame) -> int:
     What has no known size, such as rows from the driver, counts by the shuffle partitions alone.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    known = (int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    known = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     size = sum(n for n in known if n < 1 << 60)
     return max(shuffle_partitions(df.sparkSession), min(MOST_SLOTS, size // PER_SLOT))
 

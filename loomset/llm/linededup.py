@@ -4,7 +4,7 @@ Pass 1 hashes every line in numpy and sends packed 8-byte hashes to the slot tha
 keeps a Bloom filter of hashes seen once and one of hashes seen again; only the second leaves the slot. Pass 2
 probes it: lines that cannot repeat stay where they are, and only suspected repeats shuffle, with their text,
 for the exact comparison and the choice of the first occurrence. A false positive costs a shuffle of one line
-and never changes the result.
+and never changes the result. Documents that lose no line are told by a filter of keys and don't shuffle.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomset.llm import common, textkit
-from loomset.session import checkpointed, shuffle_partitions
+from loomset.llm.slots import filter_of, has, key_filter, key_hash, may_have, opened, packed, suspects_of, unpacked
+from loomset.session import checkpointed
 
-#: Bits of filter per hash and hash functions: about 0.05 % false positives.
-BITS, PROBES = 16, 6
-#: The twice-seen filter is broadcast up to this many bytes; beyond, suspects are found by a shuffled join.
+#: A filter is broadcast up to this many bytes; beyond, suspects and changed texts are found by a shuffled join.
 BROADCAST_LIMIT = 128 << 20
+#: Lines, at most, that are hot; least occurrences and greatest length of such a line.
+HOT, HOT_LEAST, HOT_LENGTH = 10_000, 10_000, 1_000
 
 
 def line_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -39,75 +40,27 @@ def line_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return textkit.span_hashes(buf, starts, ends), doc[keep], number[keep], starts, ends
 
 
-def _positions(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    step = textkit.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
-    x = textkit.mix(h)
-    for _ in range(PROBES):
-        yield x % np.uint64(bits)
-        x = x + step
-
-
-def bloom_bits(n: int) -> int:
-    return max(64, -(-n * BITS // 8) * 8)
-
-
-def bloom_add(filter_: np.ndarray, h: np.ndarray) -> None:
-    for at in _positions(h, len(filter_) * 8):
-        np.bitwise_or.at(filter_, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
-
-
-def bloom_has(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
-    out = np.ones(len(h), bool)
-    for at in _positions(h, len(filter_) * 8):
-        out &= (filter_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-    return out
-
-
-def suspects_of(h: np.ndarray, block: int = 1 << 16) -> np.ndarray:
-    """The hashes that the once-seen filter has already when they come again: a superset of the repeated ones."""
-    once = np.zeros(bloom_bits(len(h)) // 8, np.uint8)
-    found = []
-    for k in range(0, len(h), block):
-        part, counts = np.unique(h[k : k + block], return_counts=True)
-        found.append(part[(counts > 1) | bloom_has(once, part)])
-        bloom_add(once, part)
-    return np.unique(np.concatenate(found)) if found else h[:0]
-
-
-def twice_filter(suspects: np.ndarray) -> np.ndarray:
-    filter_ = np.zeros(bloom_bits(len(suspects)) // 8, np.uint8)
-    bloom_add(filter_, suspects)
-    return filter_
-
-
-def _slot(h: np.ndarray, slots: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
-
-
 def _packed(slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = textkit.as_bytes(b.column(0))
-            h = np.concatenate([np.zeros(0, np.uint64), *(line_hashes(texts[i:j])[0] for i, j in textkit.chunks(texts))])
-            slot = _slot(h, slots)
-            order = np.argsort(slot, kind="stable")
-            h, slot = h[order], slot[order]
-            which, at = np.unique(slot, return_index=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(which.astype(np.int32)), pa.array([x.tobytes() for x in np.split(h, at[1:])] if len(which) else [], pa.binary())], ["slot", "hashes"]
-            )
+        def hashes():
+            for b in batches:
+                texts = textkit.as_bytes(b.column(0))
+                for i, j in textkit.chunks(texts):
+                    yield {"hashes": line_hashes(texts[i:j])[0]}
+
+        yield from packed(hashes(), slots)
 
     return run
 
 
 def _owned(table: pa.Table) -> pa.Table:
-    h = np.concatenate([np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()])
+    (h,) = unpacked(table, hashes=np.uint64)
     suspects = suspects_of(h)
     keep = len(suspects) > 0
     return pa.table(
         {
             "slot": pa.array([table["slot"][0].as_py()] if keep else [], pa.int32()),
-            "twice": pa.array([twice_filter(suspects).tobytes()] if keep else [], pa.binary()),
+            "twice": pa.array([filter_of(suspects).tobytes()] if keep else [], pa.binary()),
             "suspects": pa.array([suspects.astype(np.int64).tolist()] if keep else [], pa.list_(pa.int64())),
         }
     )
@@ -128,23 +81,10 @@ def _lines(batches: Iterator[pa.RecordBatch], kept) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _probing(filters: dict[int, bytes], slots: int):
+def _probing(filters, slots: int):
     def run(batches):
-        tables = {s: np.frombuffer(x, np.uint8) for s, x in filters.value.items()}
-
-        def kept(h: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(h), bool)
-            if not len(h):
-                return out
-            slot = _slot(h, slots)
-            order = np.argsort(slot, kind="stable")
-            which, at = np.unique(slot[order], return_index=True)
-            for s, rows in zip(which.tolist(), np.split(order, at[1:]), strict=True):
-                if s in tables:
-                    out[rows] = bloom_has(tables[s], h[rows])
-            return out
-
-        yield from _lines(batches, kept)
+        tables = opened(filters)
+        yield from _lines(batches, lambda h: has(tables, slots, h))
 
     return run
 
@@ -164,7 +104,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     share its decisions. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    slots = shuffle_partitions(spark)
+    slots = common.slots_of(docs)
     kind = docs.schema[key].dataType.simpleString()
     some = docs.where(docs[key].isNotNull() & (F.length(docs[text]) > 0)).select(docs[key].alias("k"), docs[text].alias("x"))
     owned = checkpointed(some.select("x").mapInArrow(_packed(slots), "slot int, hashes binary").groupBy("slot").applyInArrow(_owned, "slot int, twice binary, suspects array<bigint>"))
@@ -176,22 +116,35 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     else:
         suspected = some.mapInArrow(_all_lines, shape).join(owned.select(F.explode("suspects").alias("h")), "h", "left_semi")
     suspected = suspected.select("k", "n", "line")
-    first = suspected.groupBy("line").agg(F.min(F.struct("k", "n")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("line", "f")
-    k, drop, new = (common.fresh(docs, c) for c in ("drop_key", "drop_lines", "new_text"))
-    drops = suspected.join(first, "line").where("k != f.k or n != f.n").groupBy(F.col("k").alias(k)).agg(F.collect_set("n").alias(drop))
-    lines = F.split(docs[text], "\n", -1)
+    first = suspected.groupBy("line").agg(F.min(F.struct("k", "n")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    first = checkpointed(first.select("line", "f", "c"))
+    k, drop, new, lines = (common.fresh(docs, c) for c in ("drop_key", "drop_lines", "new_text", "lines"))
+    # the lines with the most occurrences, HOT at most, meet them where they are; the others' occurrences shuffle
+    total = first.agg(F.sum("c")).first()[0] or 0
+    is_hot = (F.col("c") > max(HOT_LEAST, total // HOT)) & (F.length("line") <= HOT_LENGTH)
+    hot = F.broadcast(first.where(is_hot).select("line", F.col("f").alias("hf")))
+    some_lines = suspected.join(hot, "line", "left").select("k", "n", "hf", F.when(F.col("hf").isNull(), F.col("line")).otherwise(F.concat(F.lit("\n"), F.col("k").cast("string"))).alias("line"))
+    decided = some_lines.join(first.where(~is_hot).select("line", "f"), "line", "left").withColumn("f", F.coalesce("hf", "f"))
+    drops = checkpointed(decided.where("f is not null and (k != f.k or n != f.n)").groupBy(F.col("k").alias(k)).agg(F.collect_set("n").alias(drop)))
+    changed, same = docs, None
+    # texts that lose no line stay where they are
+    if (affected := key_filter(drops.select(k), slots, broadcast_limit)) is not None:
+        hit = may_have(affected, slots)(key_hash(docs[key]))
+        changed, same = docs.where(hit), docs.where(~hit)
+    # explode makes the lines a column, which else would be split again for every line that is kept
+    out = changed.join(drops, changed[key] == F.col(k), "left").withColumn(lines, F.explode(F.array(F.split(changed[text], "\n", -1))))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
-    out = docs.join(drops, docs[key] == F.col(k), "left")
-    out = out.withColumn(new, F.when(F.col(drop).isNull(), docs[text]).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")))
+    out = out.withColumn(new, F.when(F.col(drop).isNull(), changed[text]).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(lines), i)), "\n")))
     columns = []
     for c in docs.columns:
         if c == text:
             columns.append(F.col(new).alias(c))
         elif c == length:
-            columns.append(F.when(F.col(drop).isNull(), docs[c]).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(F.col(drop).isNull(), changed[c]).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c))
         else:
-            columns.append(docs[c])
-    return out.select(*columns)
+            columns.append(changed[c])
+    out = out.select(*columns)
+    return out if same is None else out.unionAll(same)
 
 
 ORACLE = r"""

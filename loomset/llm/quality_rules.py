@@ -8,6 +8,7 @@ makes probabilities of the scores; fixed thresholds on these decide.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,10 @@ STEPS, RATE, DECAY = 120, 0.5, 1e-5
 KINDS = 4
 #: Added to the number of n-grams of each kind, so that a few n-grams alone don't decide on a short text.
 SHRINK = np.array([120, 120, 20, 20])
-#: A very long text is scored in parts of so many bytes, whose n-gram sums add up.
+#: A very long text is scored in parts of about so many bytes, whose n-gram sums add up to those of the whole.
 PART = 1 << 22
+#: N-gram cells of the training rows that one step of training looks at.
+CELLS = 1 << 20
 
 
 def _kinds(buf: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -57,15 +60,33 @@ def _sums(w: np.ndarray, idx: np.ndarray, span: np.ndarray) -> np.ndarray:
     return c[span[1]] - c[span[0]]
 
 
+def _parts(t: bytes) -> Iterator[tuple[bytes, int]]:
+    """A very long text in parts that end at white space: what n-grams that start in the part need, and the part's length."""
+    a = 0
+    while a < len(t):
+        z = _BLANK.search(t, a + PART)
+        z = z.start() if z else len(t)
+        follows = _WORD.search(t, z)
+        yield t[a : max(z + 3, follows.end() if follows else 0)], z - a
+        a = z
+
+
+_BLANK, _WORD = re.compile(rb"[ \t\n\r]"), re.compile(rb"[^ \t\n\r]+")
+
+
 def means(w: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Sum over the kinds of each text's shrunk mean weight, and whether it has any word."""
     out, inked = np.zeros(len(texts)), np.zeros(len(texts), bool)
     for i, j in textkit.chunks(texts):
         if j - i == 1 and len(texts[i]) > PART:
-            t, total, count = texts[i], np.zeros(KINDS), np.zeros(KINDS)
-            for a in range(0, len(t), PART):
-                buf, offsets = textkit.joined([t[a : a + PART]])
+            total, count = np.zeros(KINDS), np.zeros(KINDS)
+            for part, n in _parts(texts[i]):
+                buf, offsets = textkit.joined([part])
+                if len(buf) < 8:
+                    buf = np.concatenate([buf, np.full(8, 10, np.uint8)])
+                words = int(np.searchsorted(textkit.word_spans(buf)[0], n))
                 for k, (idx, span) in enumerate(_kinds(buf, offsets)):
+                    span = np.minimum(span, n if k < 2 else words)
                     total[k] += _sums(w, idx, span)[0]
                     count[k] += span[1, 0] - span[0, 0]
             out[i], inked[i] = (total / (count + SHRINK)).sum(), count[2] > 0
@@ -97,23 +118,26 @@ def fit(texts: list[bytes], y: np.ndarray, held: np.ndarray) -> dict:
             cell = np.repeat(np.arange(i, j), n).astype(np.int64) << BITS | idx[take]
             cell, count = np.unique(cell, return_counts=True)
             r = cell >> BITS
-            rows.append(r)
-            cols.append(cell & ((1 << BITS) - 1))
-            vals.append(count / (n[r - i] + SHRINK[kind]))
+            rows.append(r.astype(np.int32))
+            cols.append((cell & ((1 << BITS) - 1)).astype(np.int32))
+            vals.append((count / (n[r - i] + SHRINK[kind])).astype(np.float32))
     r, c, v = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
+    del rows, cols, vals
+    blocks = [slice(a, a + CELLS) for a in range(0, len(r), CELLS)]  # so that no step makes an array as long as the cells
+    odds = lambda: sum((np.bincount(r[b], w[c[b]] * v[b], len(y)) for b in blocks), np.zeros(len(y)))
     w, bias = np.zeros(1 << BITS), 0.0
     train = ~held
     balance = np.where(y == 1, 0.5 / max(1, (y[train] == 1).sum()), 0.5 / max(1, (y[train] == 0).sum())) * train
     g2, b2 = np.full(1 << BITS, 1e-8), 1e-8
     for _ in range(STEPS):
-        z = np.bincount(r, w[c] * v, len(y)) + bias
+        z = odds() + bias
         e = (1 / (1 + np.exp(-z)) - y) * balance
-        g = np.bincount(c, e[r] * v, 1 << BITS) + DECAY * w
+        g = sum((np.bincount(c[b], e[r[b]] * v[b], 1 << BITS) for b in blocks), DECAY * w)
         g2 += g * g
         b2 += e.sum() ** 2
         w -= RATE * g / np.sqrt(g2)
         bias -= RATE * e.sum() / np.sqrt(b2)
-    z = np.bincount(r, w[c] * v, len(y)) + bias
+    z = odds() + bias
     a, b = platt(z[held], y[held]) if len(set(y[held].tolist())) == 2 else (1.0, 0.0)
     return {"w": w.astype(np.float32), "bias": float(bias), "a": a, "b": b}
 
@@ -160,9 +184,9 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> dict:
-    """Model of the quality label, trained by one task on up to ``per_class`` rows a class."""
+    """Model of the quality label, trained by one task on up to ``per_class`` rows a class, which all tasks look for."""
     rows = common.labelled_sample(docs, labels, per_class, key, text, label)
-    r = rows.coalesce(1).mapInArrow(_trained, "w binary, bias double, a double, b double").first()
+    r = rows.repartition(1).mapInArrow(_trained, "w binary, bias double, a double, b double").first()
     if r is None:
         return fit([], np.zeros(0, np.int64), np.zeros(0, bool))
     return {"w": np.frombuffer(bytes(r["w"]), np.float32), "bias": r["bias"], "a": r["a"], "b": r["b"] + prior_shift(labels, key, label, per_class)}
@@ -196,7 +220,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """``docs``, all columns, where the probability of good quality reaches ``threshold``.
 
     Cases: a null text or one without words has no n-grams; its probability is 0 and it goes. Keys don't matter for
-    scoring, so null and repeated keys are scored like others. Without labels of both classes the share of good labels is
+    scoring, so null and repeated keys are scored like others; of a labelled key that repeats the least text is trained on. A very
+    long text is scored in parts that give the whole's n-grams. Without labels of both classes the share of good labels is
     everyone's probability; without any, everything with words stays. Ties don't arise: each row is decided alone. An empty
     table gives an empty table.
     """

@@ -14,8 +14,8 @@ import numpy as np
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
-#: Bytes of text that one chunk aims at; a longer text makes its own chunk.
-CHUNK = 1 << 20
+#: Bytes of text that one chunk aims at.
+CHUNK = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 13, 32]] = True
@@ -57,9 +57,12 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` that hold about ``limit`` bytes each."""
+    """Ranges of ``texts`` that hold about ``limit`` bytes each; a longer text has a range of its own."""
     at, size = 0, 0
     for k, t in enumerate(texts):
+        if len(t) >= limit and at < k:
+            yield at, k
+            at, size = k, 0
         size += len(t) + 1
         if size >= limit:
             yield at, k + 1

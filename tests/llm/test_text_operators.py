@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from loomset.llm import chaining, gam, linededup, minhash, mixing, pii, quality_rules, spm
+from loomset.llm import chaining, gam, linededup, minhash, mixing, pii, quality_rules, slots, spm
 
 
 def rows_of(df):
@@ -29,8 +30,9 @@ def brute_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("limit", [1 << 30, -1])
-def test_line_dedup(spark, odd, empty, clashing, limit):
+@pytest.mark.parametrize(("limit", "hot"), [(1 << 30, 10_000), (-1, 10_000), (1 << 30, 3)])
+def test_line_dedup(spark, odd, empty, clashing, monkeypatch, limit, hot):
+    monkeypatch.setattr(linededup, "HOT_LEAST", hot)
     rows = [(i, "\n".join(f"line {(i * 7 + j * j) % 23}" if j % 4 else "" for j in range(i % 9)), "en", "s", 0) for i in range(40)]
     got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(clashing(odd(rows)), broadcast_limit=limit).collect() if r["doc_id"] is not None and r["doc_id"] < 90}
     want = {k: "" for k, *_ in rows} | brute_lines([(k, t) for k, t, *_ in rows])
@@ -40,9 +42,27 @@ def test_line_dedup(spark, odd, empty, clashing, limit):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_long_texts_repeated_keys_and_text_keys(spark, odd, empty):
+    long = "\n".join(f"row {i % 5000} {'x' * (i % 70)}" for i in range(40_000))
+    rows = [(1, "a b c\nonly here", "en", "s", 0), (1, "a b c\nand here", "en", "s", 0), (2, long, "en", "s", 0), (3, "a b c\nlast", "en", "s", 0)]
+    got = {(r["doc_id"], r["text"]) for r in linededup.dedup_lines(odd(rows)).collect() if r["doc_id"] is not None and r["doc_id"] < 90}
+    # both rows of key 1 hold the first occurrence, at the same place
+    assert got == {(1, "a b c\nonly here"), (1, "a b c\nand here"), (2, brute_lines([(2, long)])[2]), (3, "last")}
+    named = odd(rows).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {(r["doc_id"], r["text"]) for r in linededup.dedup_lines(named).collect() if r["doc_id"] in ("d1", "d2", "d3")} == {(f"d{k}", t) for k, t in got}
+
+
+def test_texts_that_lose_no_line_do_not_shuffle(spark, odd):
+    rows = [(i, f"unique {i}\n{'shared' if i < 4 else i}", "en", "s", 0) for i in range(80)]
+    out = linededup.dedup_lines(odd(rows))
+    plan = out._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    kept = plan[plan.index("Union") :]
+    assert kept.count("Exchange") == 2 and out.count() == 86  # the changed texts and their decisions, on one side of the union
+
+
 def test_bloom_filters_miss_nothing():
     h = np.random.default_rng(0).integers(0, 1 << 62, 5000).astype(np.uint64)
-    found = set(linededup.suspects_of(np.concatenate([h, h[:100]])).tolist())
+    found = set(slots.suspects_of(np.concatenate([h, h[:100]])).tolist())
     assert set(h[:100].tolist()) <= found and len(found) < 150
 
 
@@ -72,7 +92,8 @@ def brute_groups(rows):
     return {(find(k), k) for k, _ in rows if find(k) != k}
 
 
-def test_near_dedup(spark, odd, empty, clashing, prose):
+@pytest.mark.parametrize("options", [{}, {"broadcast_limit": -1}, {"short": 3, "block": 4}])
+def test_near_dedup(spark, odd, empty, clashing, prose, options):
     r = random.Random(1)
     rows = []
     for g in range(12):
@@ -82,11 +103,31 @@ def test_near_dedup(spark, odd, empty, clashing, prose):
             for _ in range(c):
                 w[r.randrange(len(w))] = f"new{g}{c}"
             rows.append((len(rows), " ".join(w), "en", "s", 1))
-    got = {(r["keep_id"], r["doc_id"]) for r in minhash.near_groups(odd(rows)).collect()}
+    # texts that share a passage, some of them near each other and most not
+    shared = prose(500, 50)
+    rows += [(len(rows) + i, f"{shared} {prose(600 + i // 3, 60)}", "en", "s", 1) for i in range(30)]
+    got = {(r["keep_id"], r["doc_id"]) for r in minhash.near_groups(odd(rows), **options).collect()}
     assert got == brute_groups([(x["doc_id"], x["text"]) for x in odd(rows).collect()])
-    kept = minhash.drop_near(clashing(odd(rows)))
+    kept = minhash.drop_near(clashing(odd(rows)), **options)
+    assert kept.columns == clashing(odd()).columns
     assert {r["doc_id"] for r in kept.collect()} == {x["doc_id"] for x in odd(rows).collect()} - {b for _, b in got}
-    assert minhash.near_groups(empty).count() == 0
+    assert minhash.near_groups(empty, **options).count() == 0 and minhash.drop_near(empty, **options).count() == 0
+
+
+def test_near_dedup_of_repeated_keys_text_keys_and_long_texts(spark, odd, prose):
+    long = prose(1, 30_000)
+    rows = [(1, prose(2, 80), "en", "s", 1), (1, prose(3, 80), "en", "s", 1), (2, prose(2, 80), "en", "s", 1), (3, prose(3, 80), "en", "s", 1), (4, long, "en", "s", 1), (5, long + " end", "en", "s", 1)]
+    got = {(r["keep_id"], r["doc_id"]) for r in minhash.near_groups(odd(rows)).collect()}
+    assert (4, 5) in got and len(got & {(1, 2), (1, 3)}) == 1 and len(got) == 2  # of key 1 one text counts
+    named = odd(rows).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {(r["keep_id"], r["doc_id"]) for r in minhash.near_groups(named).collect()} == {(f"d{a}", f"d{b}") for a, b in got}
+    assert {r["doc_id"] for r in minhash.drop_near(named).collect()} >= {"d1", "d4", None} and minhash.drop_near(named).where("doc_id = 'd5'").isEmpty()
+
+
+def test_overlaps_of_blocks():
+    r = np.random.default_rng(3)
+    a, b = ([np.unique(r.integers(0, 40, r.integers(0, 20))) for _ in range(n)] for n in (90, 70))
+    assert minhash.overlaps(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
 
 
 # ---- mixing
