@@ -62,6 +62,12 @@ def shared_folder(spark: SparkSession) -> str:
 _OWN: dict[str, str] = {}
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this session wrote, wherever the shared folder is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by writing ``df`` to the shared folder."""
     sc = df.sparkSession.sparkContext
