@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomset.llm import common, textkit
-from loomset.session import checkpointed
+from loomset.session import checkpointed, shuffle_partitions
 
 PHI = 0x9E3779B97F4A7C15
 BLOCK, ALPHA, SEED = 512, 0.9, "mix-1"
 #: Slots of one chunk, and slots above the expected number that are tried first for every source to reach its last block.
 CHUNK_SLOTS, SPARE = 1 << 16, 256
-MAX_SOURCES = 100_000
+MAX_SOURCES = 1_000_000
+#: Blocks and epochs whose pieces of one document go into one list.
+LIST_BLOCKS, LIST_EPOCHS = 1024, 4
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,12 +78,17 @@ def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     to millionths, one at least. The schedule ends with the slot in which every source has served its last block, so nothing
     is left out; sources that weigh more than they hold come again, in later epochs.
 
-    Cases: tokens are runs of other than space, tab, line feed and return. The last block of a source may be
+    Cases: tokens are runs of other than space, tab, line feed and return; a text of any length is counted whole. The last block of a source may be
     short. A null source counts as source 'unknown'. Rows with a null key, and null or blank texts, have no tokens and
     no place. Rows that repeat a key are one document, of the most tokens, then the greatest source. Sources
     that ``weights`` doesn't name are left out. Equal hashes are ordered by key. An empty table
     gives an empty schedule. More than MAX_SOURCES sources raise ValueError, since the table of weights is on the driver.
     """
+    return _planned(docs, key, text, source, weights, block_tokens, alpha, seed)[0]
+
+
+def _planned(docs: DataFrame, key: str, text: str, source: str, weights: dict[str, float] | None = None, block_tokens: int = BLOCK, alpha: float = ALPHA, seed: str = SEED) -> tuple[DataFrame, int]:
+    """The schedule and its last slot, -1 if there is none."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     some = docs.where(docs[key].isNotNull() & docs[text].isNotNull()).select(docs[key].alias("k"), F.coalesce(docs[source].cast("string"), F.lit("unknown")).alias("s"), docs[text].alias("x"))
@@ -96,7 +103,7 @@ def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     totals = sorted((r["s"], r["t"]) for r in totals)
     shape = f"slot bigint, source string, epoch bigint, block bigint, doc_id {kind}, start_token bigint, end_token bigint"
     if not totals:
-        return spark.createDataFrame([], shape)
+        return spark.createDataFrame([], shape), -1
     raw = [float(t) ** alpha if weights is None else float(weights[s]) for s, t in totals]
     if min(raw) <= 0:
         raise ValueError("weights must be positive")
@@ -131,7 +138,8 @@ def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     pieces = pieces.select(
         "k", "s", "block", F.greatest(F.lit(0), F.col("block") * size - F.col("c")).cast("bigint").alias("start_token"), F.least(F.col("n"), (F.col("block") + 1) * size - F.col("c")).cast("bigint").alias("end_token")
     )
-    return pieces.join(served, ["s", "block"]).select("slot", F.col("s").alias("source"), "epoch", "block", F.col("k").alias("doc_id"), "start_token", "end_token")
+    plan = pieces.join(served, ["s", "block"]).select("slot", F.col("s").alias("source"), "epoch", "block", F.col("k").alias("doc_id"), "start_token", "end_token")
+    return plan, end
 
 
 def _cut(at_text: int, at_length: int, at_list: int):
@@ -171,16 +179,17 @@ def _cut(at_text: int, at_length: int, at_list: int):
     return run
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", length: str = "n_chars", with_schedule: bool = False, **options) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", length: str = "n_chars", with_schedule: bool = False, in_order: bool = False, **options) -> DataFrame:
     """The mix of ``schedule`` with its texts: a row for each piece, with all columns of the document.
 
     A piece starts at its first token and ends before the next piece's, so pieces put together give the text (without white
     space before the first token). ``length``, if there is one, becomes the piece's. ``with_schedule`` adds the columns
-    slot, epoch, block, start_token, end_token. Rows that repeat a key each give the pieces of that key that
-    their text has tokens for.
+    slot, epoch, block, start_token, end_token; with ``in_order`` the rows are in the order of slots, partition after partition, so
+    that files written from them hold the mix. Rows that repeat a key each give the pieces of that key that
+    their text has tokens for. A document of many blocks and epochs meets several lists of pieces, each of a bounded length.
     """
-    plan = schedule(docs, key, text, source, **options)
-    lists = plan.groupBy("doc_id").agg(F.collect_list(F.struct("slot", "epoch", "block", "start_token", "end_token")).alias("__pieces"))
+    plan, end = _planned(docs, key, text, source, **options)
+    lists = plan.groupBy("doc_id", F.floor(F.col("block") / LIST_BLOCKS), F.floor(F.col("epoch") / LIST_EPOCHS)).agg(F.collect_list(F.struct("slot", "epoch", "block", "start_token", "end_token")).alias("__pieces"))
     joined = docs.join(lists.select(F.col("doc_id").alias(key2 := common.fresh(docs, "mixed")), F.col("__pieces").alias(pieces := common.fresh(docs, "pieces"))), docs[key] == F.col(key2))
     joined = joined.select(*[docs[c] for c in docs.columns], F.col(pieces))
     fields = docs.schema.fields
@@ -188,6 +197,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     shape = T.StructType([T.StructField(f"c{i}", t) for i, t in enumerate([*(f.dataType for f in fields), *[T.LongType()] * 5])])
     out = common.positional(joined).mapInArrow(_cut(names.index(text), names.index(length) if length in names else -1, len(names)), shape)
     extra = ["slot", "epoch", "block", "start_token", "end_token"]
+    if in_order:
+        n, slot, start = shuffle_partitions(docs.sparkSession), F.col(f"c{len(names)}"), F.col(f"c{len(names) + 3}")
+        at = F.col(f"c{names.index(key)}")
+        out = out.repartitionById(n, F.floor(slot * n / (end + 1)).cast("int")).sortWithinPartitions(slot, F.md5(F.concat(F.lit(":"), at.cast("string"))), at, start)
     if with_schedule:
         return out.toDF(*names, *extra)
     return out.select(*[f"c{i}" for i in range(len(names))]).toDF(*names)
@@ -201,7 +214,7 @@ p AS (SELECT *, CAST(sum(n) OVER (PARTITION BY s ORDER BY o, k ROWS UNBOUNDED PR
 t AS (SELECT s, CAST(sum(n) AS BIGINT) AS t, CAST(ceil(sum(n) / {BLOCK}) AS BIGINT) AS b FROM p GROUP BY s),
 w AS (SELECT *, greatest(1, CAST(floor(1e6 * t ** {ALPHA} / (SELECT sum(t ** {ALPHA}) FROM t)) AS BIGINT)) AS ppm FROM t),
 cut AS (SELECT *, CAST(sum(ppm) OVER (ORDER BY s) AS BIGINT) AS hi, CAST(sum(ppm) OVER () AS BIGINT) AS total FROM w),
-i AS (SELECT unnest(range((SELECT CAST(max(ceil(b * total / ppm)) AS BIGINT) + {SPARE} FROM cut))) AS slot),
+i AS (SELECT unnest(range((SELECT CAST(max(ceil((b + 12) * total / ppm)) AS BIGINT) + {SPARE} FROM cut))) AS slot),
 x AS (SELECT slot, ((slot::HUGEINT * {PHI}::HUGEINT) % {1 << 64}::HUGEINT // {1 << 24}) * (SELECT any_value(total) FROM cut) // {1 << 40}::HUGEINT AS x FROM i),
 r AS (SELECT slot, s, b, row_number() OVER (PARTITION BY s ORDER BY slot) - 1 AS r FROM x JOIN cut ON x >= hi - ppm AND x < hi),
 v AS (SELECT slot, s, r // b AS epoch, r % b AS block FROM r WHERE slot <= (SELECT max(slot) FROM r WHERE r = b - 1)),

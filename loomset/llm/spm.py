@@ -6,6 +6,11 @@ paths are sums of its units'. A unit is solved once per worker: a forward Viterb
 that gives the gap to its second-best path. N-best paths come from A-star search backwards from the unit's end,
 with the forward scores as exact heuristics, only for the few units of a text whose gaps can matter; a
 best-first merge over the units then gives the text's N-best segmentations.
+
+The model is a BPE model: its scores are ranks of merges, not likelihoods that add up. A piece of rank r gets the log-probability
+of Zipf's law, 1 / (r + ZIPF) over the sum of all, and a piece that the tokenizer itself doesn't put at that place costs FOREIGN more,
+which is beyond any sum of log-probabilities. So the best path is the tokenizer's own segmentation, and the others
+follow by the number of pieces in which they depart from it, the likeliest first.
 """
 
 from __future__ import annotations
@@ -26,10 +31,12 @@ from loomset.llm import common, textkit
 #: Where the public vocabularies are, unless LOOMSET_TOKENIZERS names another folder.
 MODEL = os.path.join(os.environ.get("LOOMSET_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
 NBEST = 3
+#: Added to the ranks in the log-probabilities of pieces; cost of a piece that the tokenizer doesn't use there.
+ZIPF, FOREIGN = 10, 1e6
 #: A character that the vocabulary lacks costs this much more than the worst piece, and becomes byte pieces.
 UNKNOWN = 10.0
-#: Units that a worker remembers; beyond, the older half is forgotten.
-REMEMBER = 150_000
+#: Units that a worker remembers, beyond which it starts again, and that it solves at once.
+REMEMBER, AT_ONCE = 150_000, 4_000
 SPACE = "▁"
 
 
@@ -44,12 +51,16 @@ class Lattice:
         self.pieces = m.id_to_piece(list(range(n)))
         plain = [i for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
-        self.score = {self.pieces[i]: m.get_score(i) for i in plain}
+        self.processor = m
+        ranks = {i: min(float(n), -m.get_score(i)) for i in plain}
+        norm = np.log(sum(1 / (r + ZIPF) for r in ranks.values()))
+        self.score = {self.pieces[i]: float(-np.log(r + ZIPF) - norm) for i, r in ranks.items()}
+        self.merge = {self.pieces[i]: m.get_score(i) for i in plain}
+        self.width = np.array([len(p) for p in self.pieces])
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(n) if m.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.longest = max(map(len, self.ids))
-        floor = min(s for s in self.score.values() if s > -1e8)
-        self.unknown = floor - UNKNOWN
+        self.unknown = min(self.score.values()) - UNKNOWN
         known = re.escape("".join(c for c in self.ids if len(c) == 1 and c != SPACE))
         # a run of spaces with what follows, or what stands first, or one character that no piece has
         self.units = re.compile(f"{SPACE}+[{known}]*|[{known}]+|.", re.DOTALL)
@@ -58,7 +69,8 @@ class Lattice:
         self.index, self.parts = Numbering(), []
         self.alternatives: dict[str, list] = {}
         self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
-        self.scores = np.array([*(m.get_score(i) for i in range(n)), -np.inf])  # the last is for what is no piece
+        self.scores = np.full(n + 1, -np.inf)  # the last is for what is no piece
+        self.scores[plain] = [self.score[self.pieces[i]] for i in plain]
         self.hashes = np.zeros(n, np.uint64)
         for i in plain:
             c, (_, inverse) = self.prefix(np.frombuffer(self.pieces[i].encode("utf-32-le"), np.uint32))
@@ -75,14 +87,46 @@ class Lattice:
         spilled.sort(key=lambda i: self.hashes[i])
         self.spilled, self.spilled_ids = self.hashes[spilled], np.array(spilled, np.int64)
 
+    def own(self, units: list[str]) -> list[list[int]]:
+        """Lengths of the pieces that the tokenizer cuts each unit into."""
+        plain = [len(u) > 1 and u[0] == SPACE and SPACE not in u[1:] for u in units]
+        said = iter(self.processor.encode([u[1:] for u, p in zip(units, plain, strict=True) if p], num_threads=1))
+        out = []
+        for u, p in zip(units, plain, strict=True):
+            size = self.width[next(said)].tolist() if p else []
+            out.append(size if sum(size) == len(u) else self.merged(u))
+        return out
+
+    def merged(self, unit: str) -> list[int]:
+        """The same by the merges themselves: of all neighbours that make a piece the best, then the leftmost, merge first."""
+        parts = list(unit)
+        heap = [(-s, i, a + b) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (s := self.merge.get(a + b)) is not None]
+        heapq.heapify(heap)
+        after, before = [*range(1, len(parts)), -1], list(range(-1, len(parts) - 1))
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            j = after[i] if parts[i] else -1
+            if j < 0 or parts[i] + parts[j] != both:
+                continue
+            parts[i], parts[j] = both, ""
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b >= 0 and (s := self.merge.get(parts[a] + parts[b])) is not None:
+                    heapq.heappush(heap, (-s, a, parts[a] + parts[b]))
+        return [len(p) for p in parts if p]
+
     def edges(self, unit: str) -> list[tuple[int, int, float]]:
         """Edges (start, end, score) by end, then start."""
         score, longest, out = self.score, self.longest, []
+        ends = np.cumsum(self.own([unit])[0]).tolist()
+        own = set(zip([0, *ends], ends, strict=False))
         for j in range(1, len(unit) + 1):
             for i in range(max(0, j - longest), j):
                 s = score.get(unit[i:j])
                 if s is not None:
-                    out.append((i, j, s))
+                    out.append((i, j, s if (i, j) in own else s - FOREIGN))
             if unit[j - 1] not in score:
                 out.append((j - 1, j, self.unknown))
         return out
@@ -117,22 +161,25 @@ class Lattice:
         return ids, best[n], best[n] - other
 
     def nbest(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best paths (score, ids), by score, then ids: backward A-star with exact heuristics."""
+        """The n best paths (score, ids), best first: backward A-star with exact heuristics.
+
+        Of equally good states the one nearest to the start goes on first, so ties don't make the search longer.
+        """
         edges = self.edges(unit)
         best, _ = self.forward(unit, edges)
         into: list[list] = [[] for _ in range(len(unit) + 1)]
         for i, j, s in edges:
             into[j].append((i, s))
-        heap, out = [(-best[len(unit)], len(unit), 0.0, ())], []
-        while heap and (len(out) < n or -heap[0][0] >= out[n - 1][0]):
-            f, j, g, ids = heapq.heappop(heap)
+        heap, out = [(0.0, len(unit), 0.0, ())], []
+        while heap and len(out) < n:
+            _, j, g, ids = heapq.heappop(heap)
             if j == 0:
                 out.append((g, ids))
                 continue
             for i, s in into[j]:
                 if best[i] > -np.inf:
-                    heapq.heappush(heap, (-(best[i] + s + g), i, s + g, self.piece_ids(unit[i:j]) + ids))
-        return sorted(out, key=lambda p: (-p[0], p[1]))[:n]
+                    heapq.heappush(heap, (round(-(best[i] + s + g), 6), i, s + g, self.piece_ids(unit[i:j]) + ids))
+        return out
 
     def normal(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
@@ -173,13 +220,16 @@ class Lattice:
         best = np.full((most + 1, len(units)), -np.inf)
         rest = best.copy()
         best[0], rest[size, np.arange(len(units))] = 0.0, 0.0
-        step, piece = np.zeros(best.shape, np.int8), np.zeros(best.shape, np.int32)
+        step, piece, own = np.zeros(best.shape, np.int8), np.zeros(best.shape, np.int32), np.zeros(best.shape, np.int8)
+        cuts = self.own(units)
+        for r, k in enumerate(order.tolist()):
+            own[np.cumsum(cuts[k]), r] = cuts[k]
         scores: dict[tuple[int, int], np.ndarray] = {}
         for a in range(1, most + 1):
             m = reach[a]
             for n in range(min(a, self.longest), 0, -1):
                 ids = self.lookup(textkit.mix((prefix[a, :m] - prefix[a - n, :m]) * inverse[a - n]))
-                s = self.scores[ids]
+                s = self.scores[ids] - FOREIGN * (own[a, :m] != n)
                 v = best[a - n, :m] + s
                 up = np.flatnonzero(v > best[a, :m])
                 if len(up):
@@ -254,8 +304,8 @@ class Lattice:
         where = [np.fromiter(map(self.index.__getitem__, u), np.int64, len(u)) for u in units]
         if len(self.index) > have:
             new = list(self.index)[have:]
-            for k in range(0, len(new), 20_000):
-                self.learn(new[k : k + 20_000])
+            for k in range(0, len(new), AT_ONCE):
+                self.learn(new[k : k + AT_ONCE])
         if not self.parts:
             return [[(0.0, np.zeros(0, np.int32))] for _ in texts]
         flat, size, total, gap = self.tables()
@@ -353,8 +403,9 @@ def _batch(b: pa.RecordBatch, m: Lattice, n: int, at: int) -> pa.RecordBatch:
 def encode(docs: DataFrame, text: str = "text", n: int = NBEST, model: str = MODEL) -> DataFrame:
     """``docs`` with the columns ids, n_tokens, scores, others, exact added last: no shuffle, one pass.
 
-    ``ids`` is the best segmentation, ``others`` are the next ``n`` - 1 (or all, if there are fewer), ``scores`` are the
-    scores of all these, best first, ``exact`` says that decoding ``ids`` gives the text back.
+    ``ids`` is the best segmentation, which is the tokenizer's own, ``others`` are the next ``n`` - 1 (or all, if there are
+    fewer), ``scores`` are the scores of all these, best first: log-probabilities, less FOREIGN for each piece that isn't the
+    tokenizer's. ``exact`` says that decoding ``ids`` gives the text back.
 
     Cases: an empty text has no ids, one segmentation of score 0, and is exact; a null text has nulls. U+2581 in a
     text is read as a space, as the format has it. Of paths of equal score the one that changes an earlier unit comes
