@@ -20,6 +20,7 @@ from loomset import storage
 from loomset.dataset import Dataset
 from loomset.features import ClassLabel, Features, Image, Sequence, Value
 from loomset.sources import archives
+from loomset.sources.fetch import locked
 
 Query = Callable[[SparkSession, dict], DataFrame]
 ALIASES = {"val": "validation", "valid": "validation", "dev": "validation"}
@@ -43,21 +44,20 @@ class Builder:
         return os.path.join(root, f"{self.name}_{self.config}_{split}_{self.cache_key(split)}")
 
     def build(self, spark: SparkSession, assets: dict, root: str, split: str | None = None) -> Dataset | dict[str, Dataset]:
-        """One split, or all by name. A table that another process publishes meanwhile is used instead of the own one."""
+        """One split, or all by name. Of several processes one builds a table; the others wait and open it."""
         if split is None:
             return {ALIASES.get(s, s): self.build(spark, assets, root, s) for s in self.splits}
         split = split if split in self.splits else next((s for s in self.splits if ALIASES.get(s, s) == ALIASES.get(split, split)), split)
         if split not in self.splits:
             raise ValueError(f"{self.name} has no split {split}; it has {sorted(self.splits)}")
         path = self.folder(root, split)
-        if not os.path.exists(os.path.join(path, storage.MANIFEST)):
-            rows = self.splits[split](spark, assets)
-            fields = [F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in self.features.schema().fields]
-            try:
-                storage.write(rows.select("key", *fields), path, order=["key"], drop=["key"], **self.options)
-            except (FileExistsError, OSError):
-                if not os.path.exists(os.path.join(path, storage.MANIFEST)):
-                    raise
+        done = os.path.join(path, storage.MANIFEST)
+        if not os.path.exists(done):
+            with locked(path):
+                if not os.path.exists(done):  # another process may have built it meanwhile
+                    rows = self.splits[split](spark, assets)
+                    fields = [F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in self.features.schema().fields]
+                    storage.write(rows.select("key", *fields), path, order=["key"], drop=["key"], **self.options)
         return Dataset.open(spark, path, self.features)
 
 

@@ -1,6 +1,8 @@
 """A map-style dataset over a DataFrame: dense positions, views, filters, maps, columns, formats, splits and epochs.
 
-Everything is lazy but for what needs row counts; every view is a DataFrame with the position of each row in it.
+Views are DataFrames with the position of each row in them. Slices, selections, permutations, columns, maps of rows and filters are
+lazy but for row counts; a filter leaves gaps between positions, which close when someone asks for a position. What opens a
+DataFrame without positions, a batched map that changes the number of rows, and closing gaps write the rows' order once.
 """
 
 from __future__ import annotations
@@ -8,22 +10,32 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomset import storage
-from loomset.features import Features, Sequence, Value
+from loomset.features import Features, Image, Sequence, Value, Video, VideoDecode
+from loomset.functions.vision import channels_first
 from loomset.operators import ordering, selection
 from loomset.operators.selection import POS
 
-FORMATS = (None, "raw", "numpy", "arrow", "pandas")
+FORMATS = (None, "raw", "numpy", "channels", "arrow", "pandas")
 
 
 class Dataset:
-    """``df`` holds the columns and POS, the row's position in this view."""
+    """``rows`` holds the columns and POS, which orders the rows of this view; ``df`` has the same rows with POS dense from 0."""
 
-    def __init__(self, df: DataFrame, features: Features, *, num_rows: int | None = None, fmt: str | None = None, transform: Callable | None = None, decode: bool = True):
-        self.df, self.features, self._n, self.format, self.transform, self.decode = df, features, num_rows, fmt, transform, decode
+    def __init__(self, df: DataFrame, features: Features, *, num_rows: int | None = None, fmt: str | None = None, transform: Callable | None = None, decode: bool = True, dense: bool = True, video: VideoDecode | None = None):
+        self.rows, self._dense, self.features, self._n, self.format, self.transform, self.decode, self.video = df, dense, features, num_rows, fmt, transform, decode, video
+
+    @property
+    def df(self) -> DataFrame:
+        if not self._dense:
+            # only the positions are numbered anew; the columns join them
+            at = selection.with_positions(self.rows.select(F.col(POS).alias("__old")), "__old")
+            self.rows, self._dense = self.rows.withColumnRenamed(POS, "__old").join(at, "__old").drop("__old"), True
+        return self.rows
 
     # ---- opening and writing
 
@@ -60,7 +72,7 @@ class Dataset:
     @property
     def num_rows(self) -> int:
         if self._n is None:
-            self._n = self.df.count()
+            self._n = self.rows.count()
         return self._n
 
     def __len__(self) -> int:
@@ -70,14 +82,14 @@ class Dataset:
         return {"num_rows": self.num_rows, "features": dict(self.features), "format": self.format}
 
     def _view(self, df: DataFrame, n: int | None = None, features: Features | None = None, **changes) -> Dataset:
-        keep = {"fmt": self.format, "transform": self.transform, "decode": self.decode} | changes
+        keep = {"fmt": self.format, "transform": self.transform, "decode": self.decode, "video": self.video} | changes
         return Dataset(df, features or self.features, num_rows=n, **keep)
 
     # ---- positions
 
     def __getitem__(self, at):
         if isinstance(at, str):
-            return [r[0] for r in self.df.orderBy(POS).select(at).toLocalIterator()]
+            return [r[0] for r in self.rows.orderBy(POS).select(at).toLocalIterator()]
         if isinstance(at, slice):
             start, stop, step = at.indices(self.num_rows)
             view = selection.sliced(self.df, start, stop, step, slot="__slot")
@@ -116,14 +128,12 @@ class Dataset:
                 for b in batches:
                     cols = b.to_pydict()
                     keep = predicate({n: cols[n] for n in names}) if batched else [predicate({n: cols[n][i] for n in names}) for i in range(b.num_rows)]
-                    import pyarrow as pa
-
                     yield b.filter(pa.array([bool(k) for k in keep], pa.bool_()))
 
-            kept = self.df.mapInArrow(run, self.df.schema)
+            kept = self.rows.mapInArrow(run, self.rows.schema)
         else:
-            kept = self.df.where(predicate)
-        return self._view(selection.with_positions(kept.withColumnRenamed(POS, "__old"), "__old").drop("__old"))
+            kept = self.rows.where(predicate)
+        return self._view(kept, dense=False)
 
     def shuffle(self, seed: int = 42) -> Dataset:
         view = selection.shuffled(self.df.withColumnRenamed(POS, "__old"), seed, "__old").drop("__old")
@@ -137,8 +147,7 @@ class Dataset:
 
     def sample(self, size: int, seed: int = 0) -> Dataset:
         """Exactly ``size`` rows without replacement, in their order."""
-        few = selection.sample_exact(self.df, size, seed, POS)
-        return self._view(selection.with_positions(few.withColumnRenamed(POS, "__old"), "__old").drop("__old"), min(size, self.num_rows))
+        return self._view(selection.sample_exact(self.df, size, seed, POS), min(size, self.num_rows), dense=False)
 
     # ---- columns
 
@@ -147,7 +156,7 @@ class Dataset:
         if name in self.features:
             raise ValueError(f"column {name} exists")
         if isinstance(values, (str, Column)):
-            df = self.df.withColumn(name, F.expr(values) if isinstance(values, str) else values)
+            df, dense = self.rows.withColumn(name, F.expr(values) if isinstance(values, str) else values), self._dense
         else:
             values = values.tolist() if isinstance(values, np.ndarray) else list(values)
             if len(values) != self.num_rows:
@@ -155,19 +164,19 @@ class Dataset:
             if any(isinstance(v, dict) for v in values):
                 raise TypeError("a column of structs can't be added")
             extra = self.df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(values)], f"{POS} bigint, `{name}` {_inferred(values)}")
-            df = self.df.join(extra, POS)
-        return self._view(df, self._n, Features({**self.features, name: _feature(df, name)}))
+            df, dense = self.df.join(extra, POS), True
+        return self._view(df, self._n, Features({**self.features, name: _feature(df, name)}), dense=dense)
 
     def remove_columns(self, names: str | list[str]) -> Dataset:
         names = [names] if isinstance(names, str) else names
-        return self._view(self.df.drop(*names), self._n, Features({k: v for k, v in self.features.items() if k not in names}))
+        return self._view(self.rows.drop(*names), self._n, Features({k: v for k, v in self.features.items() if k not in names}), dense=self._dense)
 
     def rename_column(self, old: str, new: str) -> Dataset:
         return self.rename_columns({old: new})
 
     def rename_columns(self, names: dict[str, str]) -> Dataset:
         """Unknown old names are ignored."""
-        return self._view(self.df.withColumnsRenamed(names), self._n, Features({names.get(k, k): v for k, v in self.features.items()}))
+        return self._view(self.rows.withColumnsRenamed(names), self._n, Features({names.get(k, k): v for k, v in self.features.items()}), dense=self._dense)
 
     def map(self, f: dict[str, str | Column] | Callable, schema=None, *, batched: bool = False, with_indices: bool = False, remove_columns: list[str] = ()) -> Dataset:
         """Columns from expressions, or rows from a Python function with a declared ``schema``.
@@ -176,20 +185,19 @@ class Dataset:
         same shape; a batched one may change the number of rows, which are then numbered anew.
         """
         if isinstance(f, dict):
-            df = self.df.withColumns({k: F.expr(v) if isinstance(v, str) else v for k, v in f.items()}).drop(*remove_columns)
+            df = self.rows.withColumns({k: F.expr(v) if isinstance(v, str) else v for k, v in f.items()}).drop(*remove_columns)
             names = [c for c in df.columns if c != POS]
-            return self._view(df, self._n, Features({n: self.features[n] if n in self.features and n not in f else _feature(df, n) for n in names}))
+            return self._view(df, self._n, Features({n: self.features[n] if n in self.features and n not in f else _feature(df, n) for n in names}), dense=self._dense)
         from pyspark.sql import types as T
 
         if schema is None:
-            raise ValueError("a Python function needs the schema of what it gives")
+            schema = self._probed(f, batched, with_indices)
         schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         names, new = self.column_names, [x.name for x in schema.fields]
         carried = [n for n in names if n not in new and n not in remove_columns]
         out = T.StructType([*(self.df.schema[n] for n in carried), *schema.fields, T.StructField(POS, T.LongType()), T.StructField("__sub", T.LongType())])
 
         def run(batches):
-            import pyarrow as pa
             from pyspark.sql.pandas.types import to_arrow_schema
 
             target = to_arrow_schema(out)
@@ -216,44 +224,97 @@ class Dataset:
         df = mapped.drop("__sub")
         return self._view(df, None if batched else self._n, Features({n: self.features[n] if n in self.features and n not in new else _feature(df, n) for n in [*carried, *new]}))
 
+    def _probed(self, f: Callable, batched: bool, with_indices: bool):
+        """Schema of what a Python function gives for the first row: columns that exist keep their type, others take the value's."""
+        from pyspark.sql import types as T
+
+        first = self.rows.orderBy(POS).limit(1).toArrow().to_pydict()
+        if not first[POS]:
+            raise ValueError("an empty dataset gives no row to infer the schema from")
+        data = {n: first[n] if batched else first[n][0] for n in self.column_names}
+        got = f(data, *([first[POS] if batched else first[POS][0]] if with_indices else []))
+        return T.StructType([self.rows.schema[n] if n in self.features else T.StructField(n, T._parse_datatype_string(_inferred(list(v) if batched else [v]))) for n, v in got.items()])
+
     # ---- what comes out
 
     def with_format(self, fmt: str | None) -> Dataset:
         if fmt not in FORMATS:
             raise ValueError(f"unknown format {fmt}")
-        return self._view(self.df, self._n, fmt=fmt)
+        return self._view(self.rows, self._n, fmt=fmt, dense=self._dense)
 
     def with_transform(self, f: Callable) -> Dataset:
         """A function of each row as it comes out, after formatting."""
-        return self._view(self.df, self._n, transform=f)
+        return self._view(self.rows, self._n, transform=f, dense=self._dense)
 
     def set_decode(self, decode: bool) -> Dataset:
-        return self._view(self.df, self._n, decode=decode)
+        return self._view(self.rows, self._n, decode=decode, dense=self._dense)
+
+    def set_video_decode(self, policy: VideoDecode | dict | None = None, **options) -> Dataset:
+        """How video columns decode when rows come out: a policy, its options, or None for references."""
+        if isinstance(policy, dict):
+            policy = VideoDecode(**policy, **options)
+        elif policy is None and options:
+            policy = VideoDecode(**options)
+        if policy is not None and not any(isinstance(f, Video) for f in self.features.values()):
+            raise ValueError("no column is a video")
+        return self._view(self.rows, self._n, video=policy, dense=self._dense)
+
+    def _decoded(self, name: str, value, row: dict, at: int):
+        feature = self.features[name]
+        if isinstance(feature, Video) and self.video is not None and value is not None:
+            return self.video.frames(value, row, at)
+        return feature.decode(value) if hasattr(feature, "decode") else value
 
     def _out(self, rows: list) -> list:
         out = []
         for r in rows:
             d = {n: r[n] for n in self.column_names}
             if self.format != "raw" and self.decode:
-                d = {n: self.features[n].decode(v) if hasattr(self.features[n], "decode") else v for n, v in d.items()}
+                raw = dict(d)
+                d = {n: self._decoded(n, v, raw, r[POS]) for n, v in d.items()}
             if self.format == "numpy":
                 d = {n: np.asarray(v) if isinstance(v, list) else v for n, v in d.items()}
+            elif self.format == "channels":
+                # images as float32 CHW in [0, 1], numbers and lists as arrays: what a tensor library takes without a copy
+                d = {n: channels_first(v) if isinstance(self.features[n], Image) and v is not None and not isinstance(v, bytes) else np.asarray(v) if isinstance(v, (list, int, float)) else v for n, v in d.items()}
             out.append(self.transform(d) if self.transform else d)
         return out
 
+    def _shaped(self, rows: list):
+        """A batch of rows in the dataset's format."""
+        if self.format not in ("arrow", "pandas"):
+            return self._out(rows)
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(self.rows.select(*self.column_names).schema)
+        batch = pa.Table.from_pylist([r.asDict(True) for r in rows], schema=schema)
+        return batch if self.format == "arrow" else batch.to_pandas()
+
     def to_arrow(self):
-        return self.df.orderBy(POS).select(*self.column_names).toArrow()
+        return self.rows.orderBy(POS).select(*self.column_names).toArrow()
 
     def to_pandas(self):
-        return self.df.orderBy(POS).select(*self.column_names).toPandas()
+        return self.rows.orderBy(POS).select(*self.column_names).toPandas()
 
     def __iter__(self) -> Iterator[dict]:
-        for r in self.df.orderBy(POS).toLocalIterator(prefetchPartitions=True):
-            yield from self._out([r])
+        """Rows in order; in the formats arrow and pandas each is a table of one row."""
+        for r in self.rows.orderBy(POS).toLocalIterator(prefetchPartitions=True):
+            if self.format in ("arrow", "pandas"):
+                yield self._shaped([r])
+            else:
+                yield from self._out([r])
+
+    def iter_batches(self, size: int = 128) -> Iterator:
+        for rows in ordering.batches(self.rows, size, [F.col(POS)]):
+            yield self._shaped(rows)
 
-    def iter_batches(self, size: int = 128) -> Iterator[list[dict]]:
-        for rows in ordering.batches(self.df, size, [F.col(POS)]):
-            yield self._out(rows)
+    def make_sampler(self, kind: str = "shard_shuffle", **options) -> ordering.Sampler:
+        """An order of positions by epoch: 'sequential', 'random', 'shard_shuffle' or 'buffer'."""
+        return ordering.Sampler(kind, **options)
+
+    def as_iterable(self, sampler: ordering.Sampler | None = None, **options) -> Epochs:
+        """Rows epoch by epoch, for one worker of several."""
+        return Epochs(self, sampler or ordering.Sampler(), **options)
 
     def epoch(self, *, seed: int | None = None, epoch: int = 0, shard_rows: int = 10_000, within: str = "random", worker: int = 0, workers: int = 1) -> DataFrame:
         """Rows of an epoch in order (column ``order``): shards by hash, rows of a shard together; without seed in position order.
@@ -262,8 +323,29 @@ class Dataset:
         """
         df = self.df.withColumn("__shard", F.floor(F.col(POS) / shard_rows))
         df = ordering.for_worker(df, worker, workers, "__shard", POS, -(-self.num_rows // shard_rows))
-        keys = [F.col(POS)] if seed is None else ordering.epoch_order(seed, epoch, "__shard", POS, within)
-        return selection.with_positions(df, *keys, name="order").drop("__shard")
+        if seed is None:
+            return selection.with_positions(df, POS, name="order").drop("__shard")
+        return ordering.epoch_positions(df, seed, epoch, "__shard", POS, "order", within).drop("__shard")
+
+
+class Epochs:
+    """Iterates over the rows of one worker in a sampler's order; ``set_epoch`` changes the permutation."""
+
+    def __init__(self, data: Dataset, sampler: ordering.Sampler, worker: int = 0, workers: int = 1):
+        if not 0 <= worker < workers:
+            raise ValueError("worker is out of range")
+        self.data, self.sampler, self.worker, self.workers, self.epoch = data, sampler, worker, workers, 0
+
+    def set_epoch(self, epoch: int) -> None:
+        self.epoch = epoch
+
+    def frame(self) -> DataFrame:
+        """The worker's rows with their place in ``order``."""
+        return self.sampler.positions(self.data.df, POS, self.epoch, self.worker, self.workers, self.data.num_rows)
+
+    def __iter__(self) -> Iterator[dict]:
+        for r in self.frame().orderBy("order").toLocalIterator(prefetchPartitions=True):
+            yield from self.data._out([r])
 
 
 def concatenate(parts: list[Dataset]) -> Dataset:

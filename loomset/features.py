@@ -110,10 +110,19 @@ class ArrayND:
 
 @dataclass(frozen=True)
 class Image:
-    """Encoded image bytes, kept as they are."""
+    """Encoded image bytes, kept as they are; decoded to HWC bytes (grey: HW) when rows come out."""
 
     encode_format: str = "PNG"
 
+    def decode(self, raw):
+        """The array of a PNG; bytes of other formats stay bytes, as no decoder of theirs is here."""
+        if raw is None or bytes(raw[:8]) != b"\x89PNG\r\n\x1a\n":
+            return raw
+        from loomset.functions.vision import unpng
+
+        a = unpng(bytes(raw))
+        return a[..., 0] if a.shape[2] == 1 else a
+
     def spark_type(self) -> T.DataType:
         return T.BinaryType()
 
@@ -160,9 +169,96 @@ class Video:
         return {"mode": self.storage, "path": None if keep is not None else path, "bytes": keep, "extension": ext, "media_type": media, "size": len(raw), "checksum": "sha256:" + hashlib.sha256(raw).hexdigest()}
 
 
+SAMPLING = ("start", "uniform", "center")
+
+
+@dataclass(frozen=True)
+class VideoDecode:
+    """How a video's frames are chosen, decoded and laid out when rows come out.
+
+    ``decode_fn(reference, policy, row=, sample_index=)`` gives THWC frames; no video decoder comes with the engine.
+    """
+
+    num_frames: int | None = None
+    sampling: str = "uniform"
+    stride: int = 1
+    start: int = 0
+    height: int | None = None
+    width: int | None = None
+    crop: str | None = None
+    layout: str = "THWC"
+    scale: bool = False
+    mean: tuple[float, ...] | None = None
+    std: tuple[float, ...] | None = None
+    on_error: str = "raise"
+    decode_fn: object = None
+
+    def __post_init__(self):
+        if self.sampling not in SAMPLING:
+            raise ValueError(f"unknown sampling {self.sampling}")
+        if self.num_frames is not None and self.num_frames < 1 or self.stride < 1 or self.start < 0:
+            raise ValueError("num_frames and stride must be positive, start must not be negative")
+        if (self.height is None) != (self.width is None) or self.height is not None and min(self.height, self.width) < 1:
+            raise ValueError("height and width go together and must be positive")
+        if self.crop not in (None, "center", "random") or self.crop and self.height is None:
+            raise ValueError("crop is None, center or random, and needs height and width")
+        if self.layout not in ("THWC", "TCHW", "CTHW"):
+            raise ValueError(f"unknown layout {self.layout}")
+        if self.on_error not in ("raise", "none"):
+            raise ValueError(f"unknown on_error {self.on_error}")
+        if (self.mean is None) != (self.std is None) or self.mean is not None and len(self.mean) != len(self.std):
+            raise ValueError("mean and std go together and must be as long")
+        if not callable(self.decode_fn):
+            raise ValueError("decode_fn must be a function: no video decoder comes with the engine")
+
+    def indices(self, n: int) -> np.ndarray:
+        """Frames taken of ``n``; with more asked for than there are, the last one repeats."""
+        if n < 1:
+            raise ValueError("no frames")
+        if self.num_frames is None:
+            return np.arange(min(self.start, n - 1), n, self.stride)
+        if self.sampling == "uniform":
+            return np.rint(np.linspace(0, n - 1, self.num_frames)).astype(int)
+        span = (self.num_frames - 1) * self.stride + 1
+        first = self.start if self.sampling == "start" else max(0, (n - span) // 2)
+        return np.minimum(first + np.arange(self.num_frames) * self.stride, n - 1)
+
+    def frames(self, reference: dict, row: dict, sample_index: int):
+        from loomset.functions import vision
+
+        try:
+            got = np.asarray(self.decode_fn(reference, self, row=row, sample_index=sample_index))
+            if got.ndim != 4:
+                raise ValueError(f"decode_fn gives {got.ndim} dimensions, not THWC")
+            got = got[self.indices(len(got))]
+            if self.crop:
+                got = np.stack([vision.crop(f, self.height, self.width, self.crop, sample_index) for f in got])
+            elif self.height is not None:
+                got = np.stack([vision.resize(f, self.height, self.width) for f in got])
+            if self.mean is not None:
+                got = vision.normalise(got.astype(np.float32) / (255 if self.scale else 1), self.mean, self.std).astype(np.float32)
+                return vision.to_layout(got, self.layout)
+            return vision.to_layout(got, self.layout, self.scale)
+        except Exception:
+            if self.on_error == "raise":
+                raise
+            return None
+
+
 _KINDS = {c.__name__: c for c in (Value, ClassLabel, Sequence, ArrayND, Image, Video)}
 
 
+def register_codec(kind: type) -> type:
+    """Make a logical type known by its class name: a frozen dataclass with ``spark_type``, ``encode`` and, if need be, ``decode``."""
+    for needed in ("spark_type", "encode", "__dataclass_fields__"):
+        if not hasattr(kind, needed):
+            raise TypeError(f"{kind.__name__} lacks {needed}")
+    if _KINDS.get(kind.__name__, kind) is not kind and _KINDS[kind.__name__].__module__ != kind.__module__:
+        raise ValueError(f"a codec {kind.__name__} exists")
+    _KINDS[kind.__name__] = kind
+    return kind
+
+
 def _plain(feature) -> dict:
     d = {k: _plain(v) if type(v).__name__ in _KINDS else v for k, v in (feature.__dict__ if isinstance(feature, Sequence) else asdict(feature)).items()}
     return {"kind": type(feature).__name__} | {k: list(v) if isinstance(v, tuple) else v for k, v in d.items()}

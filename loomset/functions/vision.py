@@ -18,6 +18,12 @@ def to_layout(frames: np.ndarray, layout: str, scale: bool = False) -> np.ndarra
     return np.ascontiguousarray(out.transpose({"THWC": (0, 1, 2, 3), "TCHW": (0, 3, 1, 2), "CTHW": (3, 0, 1, 2)}[layout]))
 
 
+def channels_first(image: np.ndarray) -> np.ndarray:
+    """An HWC or grey image of bytes as float32 CHW in [0, 1]."""
+    a = image if image.ndim == 3 else image[..., None]
+    return np.ascontiguousarray(a.astype(np.float32).transpose(2, 0, 1) / 255)
+
+
 def _weights(n: int, m: int) -> np.ndarray:
     edges = np.arange(m + 1) * n / m
     at = np.arange(n)
@@ -70,6 +76,18 @@ def over_noise(mask: np.ndarray, row: int, seed: int = 0) -> np.ndarray:
     return np.rint(np.minimum(mask[..., None] + noise, 1) * 255).astype(np.uint8)
 
 
+def inverted_patch(image: np.ndarray, row: int, size: int, seed: int = 0) -> np.ndarray:
+    """The image with one square patch of inverted bytes at a place that the seed and row decide."""
+    h, w = image.shape[:2]
+    if size > min(h, w):
+        raise ValueError(f"a patch of {size} is larger than {h}x{w}")
+    r = np.random.default_rng([seed, row])
+    y, x = int(r.integers(h - size + 1)), int(r.integers(w - size + 1))
+    out = image.copy()
+    out[y : y + size, x : x + size] = 255 - out[y : y + size, x : x + size]
+    return out
+
+
 def png(image: np.ndarray) -> bytes:
     """Grey, RGB or RGBA bytes as PNG."""
     a = np.ascontiguousarray(image if image.ndim == 3 else image[..., None], np.uint8)

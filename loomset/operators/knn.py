@@ -76,6 +76,56 @@ def rank_me(vectors: DataFrame, vector: str) -> float:
     return float(np.exp(-(p * np.log(p)).sum()))
 
 
+def top_accuracy(near: DataFrame, labels: DataFrame, key: str, label: str, top: int) -> DataFrame:
+    """One row (macro_accuracy, accuracy): how often a row's label is among the ``top`` most frequent of its neighbours (of equals the least)."""
+    counts = near.join(labels.select(F.col(key).alias("neighbour"), F.col(label).alias("l")), "neighbour").groupBy("key", "l").count()
+    best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("count"), "l"))
+    hits = counts.withColumn("r", best).where(F.col("r") <= top).join(labels.select(F.col(key).alias("key"), F.col(label).alias("own")), "key")
+    each = hits.groupBy("key", "own").agg(F.max((F.col("l") == F.col("own")).cast("double")).alias("hit"))
+    by = each.groupBy("own").agg(F.avg("hit").alias("a"), F.count(F.lit(1)).alias("n"))
+    return by.agg(F.avg("a").alias("macro_accuracy"), (F.sum(F.col("a") * F.col("n")) / F.sum("n")).alias("accuracy"))
+
+
+def gram(vectors: DataFrame, vector: str) -> DataFrame:
+    """Rows (i, j, x) of the sum of outer products, i <= j; as many as the square of the dimension."""
+    v = vectors.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    each = v.select(F.posexplode("v").alias("i", "a"), "v").select("i", "a", F.posexplode("v").alias("j", "b")).where("i <= j")
+    return each.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("x"))
+
+
+def lidar(vectors: DataFrame, vector: str, label: str, delta: float = 1e-4) -> float:
+    """Effective rank of the between-class scatter whitened by the within-class one; sums are aggregated, the d x d matrices are on the driver."""
+
+    def sums(batches):
+        total: dict = {}
+        for b in batches:
+            x, y = np.array(b.column(0).to_pylist(), float), b.column(1).to_pylist()
+            for c in set(y):
+                rows = x[[i for i, k in enumerate(y) if k == c]]
+                n, s, m = total.get(c, (0, 0.0, 0.0))
+                total[c] = (n + len(rows), s + rows.sum(0), m + rows.T @ rows)
+        for c, (n, s, m) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([n], pa.int64()), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], ["c", "n", "s", "m"])
+
+    rows = vectors.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(vector).cast("array<double>"), F.col(label).cast("bigint")).mapInArrow(sums, "c bigint, n bigint, s array<double>, m array<double>")
+    flat = rows.select("c", "n", F.posexplode(F.concat("s", "m")).alias("i", "x")).groupBy("c", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
+    if not flat:
+        return 0.0
+    size = max(r["i"] for r in flat) + 1
+    d = int((np.sqrt(4 * size + 1) - 1) / 2)
+    classes: dict = {}
+    for r in flat:
+        classes.setdefault(r["c"], (r["n"], np.zeros(size)))[1][r["i"]] = r["x"]
+    means = np.stack([v[:d] / n for n, v in classes.values()])
+    within = sum(v[d:].reshape(d, d) - np.outer(v[:d], v[:d]) / n for n, v in classes.values()) / sum(n for n, _ in classes.values()) + delta * np.eye(d)
+    away = means - means.mean(0)
+    w, q = np.linalg.eigh(within)
+    half = q / np.sqrt(w) @ q.T
+    e = np.maximum(np.linalg.eigvalsh(half @ (away.T @ away / len(means)) @ half), 0)
+    p = e / e.sum() + 1e-7 if e.sum() > 0 else np.full(d, 1e-7)
+    return float(np.exp(-(p * np.log(p)).sum()))
+
+
 def macro_accuracy(truth_and_prediction: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
     """One row (macro_accuracy, accuracy): mean of the classes' shares of right predictions, and of all rows'."""
     by = truth_and_prediction.groupBy(label).agg(F.avg((F.col(label) == F.col(predicted)).cast("double")).alias("a"), F.count(F.lit(1)).alias("n"))

@@ -21,6 +21,27 @@ def anti_audit(left: DataFrame, right: DataFrame, key: str, show: int = 5) -> Da
     return missing.agg(F.count(F.lit(1)).alias("n_missing")).crossJoin(few)
 
 
+def join_all(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join that fails, with an example, if a key of ``left`` has no match."""
+    joined = left.join(right.withColumn("__there", F.lit(True)), key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no match for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return joined.where(F.when(F.col("__there").isNull(), missing.cast("boolean")).otherwise(True)).drop("__there")
+
+
+def replaced(df: DataFrame, mask: Column, rows: DataFrame) -> DataFrame:
+    """``df`` with the rows that ``mask`` holds for replaced by ``rows``, which have the same columns; a null mask keeps the row."""
+    return df.where(~F.coalesce(mask, F.lit(False))).unionByName(rows)
+
+
+def overlaid(defaults: DataFrame, overrides: DataFrame, keys: list[str], by: str, value: str) -> DataFrame:
+    """Every key of ``overrides`` with every setting of ``defaults``, its own value where it has one.
+
+    ``defaults`` is a row a setting (``by``, ``value``), a configuration's size; settings that only an override has stay too.
+    """
+    wanted = overrides.select(*keys).distinct().crossJoin(F.broadcast(defaults.select(by, F.col(value).alias("__d"))))
+    return wanted.join(overrides.select(*keys, by, value), [*keys, by], "full").select(*keys, by, F.coalesce(value, "__d").alias(value))
+
+
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each group in the given total order."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
@@ -39,17 +60,35 @@ def dense_codes(df: DataFrame, column: str, into: str) -> DataFrame:
     return df.join(codes, column, "left")
 
 
+#: Ranges that a column's values are cut into for running totals, and rows that one block of keys has.
+RANGES, KEYS = 512, 65_536
+
+
+def running_base(df: DataFrame, key: str, n: str, into: str) -> DataFrame:
+    """``df`` with the sum of ``n`` over all rows of lesser whole-number ``key``: totals by blocks of keys, then within a block."""
+    block = df.withColumn("__b", F.floor(F.col(key) / KEYS))
+    sums = block.groupBy("__b").agg(F.sum(n).alias("__s"))
+    sums = sums.select("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    ahead = F.coalesce(F.sum(n).over(Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return block.withColumn("__a", ahead).join(sums, "__b").withColumn(into, F.col("__base") + F.col("__a")).drop("__b", "__a", "__base")
+
+
 def average_ranks(df: DataFrame, column: str, into: str) -> DataFrame:
-    """Ranks with ties averaged. Only distinct values are ranked, by running totals of their counts, over a range partitioning."""
-    from loomset.operators.selection import with_positions
+    """Ranks of a double column with ties averaged.
+
+    Only distinct values are ranked: their counts are summed up within ranges, between bounds that approximate quantiles of
+    the values give (the ranks are exact), so no task sees all of them.
+    """
+    from pyspark.ml.feature import Bucketizer
 
-    counts = with_positions(df.groupBy(column).agg(F.count(F.lit(1)).alias("__c")), column, name="__v")
-    # running total by blocks of values, so that no task sees all of them
-    block = counts.withColumn("__b", F.floor(F.col("__v") / 65536))
-    base = block.groupBy("__b").agg(F.sum("__c").alias("__s"))
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("__c"))
+    bounds = sorted(set(df.approxQuantile(column, [i / RANGES for i in range(1, RANGES)], 0.002)))
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol=column, outputCol="__b").transform(counts) if bounds else counts.withColumn("__b", F.lit(0.0))
+    base = cut.groupBy("__b").agg(F.sum("__c").alias("__s"))
     base = base.select("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    upto = F.sum("__c").over(Window.partitionBy("__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = block.withColumn("__u", upto).join(F.broadcast(base), "__b").select(column, (F.col("__base") + F.col("__u") - (F.col("__c") - 1) / 2).alias(into))
+    upto = F.sum("__c").over(Window.partitionBy("__b").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    # the bases are a row a range, RANGES at most
+    ranked = cut.withColumn("__u", upto).join(F.broadcast(base), "__b").select(column, (F.col("__base") + F.col("__u") - (F.col("__c") - 1) / 2).alias(into))
     return df.join(ranked, column)
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomset.session import checkpointed
 
 POS = "__pos"
+#: Rows of one range of digests, about.
+RANGE = 20_000
 
 
 def with_positions(df: DataFrame, *order: str | Column, name: str = POS) -> DataFrame:
@@ -33,7 +37,23 @@ def shuffle_key(seed: int | str, row_id: str | Column) -> Column:
 
 def shuffled(df: DataFrame, seed: int | str, row_id: str, name: str = POS) -> DataFrame:
     """Positions of a seeded permutation; ties of the hash go by the row id."""
-    return with_positions(df.withColumn("__key", shuffle_key(seed, row_id)), "__key", row_id, name=name).drop("__key")
+    return by_hash(df.withColumn("__key", shuffle_key(seed, row_id)), "__key", row_id, name=name).drop("__key")
+
+
+def by_hash(df: DataFrame, key: str, *ties: str | Column, name: str = POS) -> DataFrame:
+    """Dense positions in the order of the hex digest ``key`` and then ``ties``, lazily.
+
+    Digests are spread evenly, so their first digits are ranges of like size: these are counted, and rows are numbered within
+    their range. Only the counts are computed at once; the rows shuffle once, when they are asked for.
+    """
+    n = df.count()
+    digits = min(5, max(1, math.ceil(math.log(max(n, 2) / RANGE, 16))))
+    rows = df.withColumn("__range", F.substring(key, 1, digits))
+    counts = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    base = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__range", base.alias("__base"))  # 16 ** 5 rows at most
+    at = F.row_number().over(Window.partitionBy("__range").orderBy(key, *ties))
+    return rows.withColumn("__at", at).join(F.broadcast(starts), "__range").withColumn(name, F.col("__at") - 1 + F.col("__base")).drop("__at", "__range", "__base")
 
 
 def at_indices(df: DataFrame, indices: list[int], pos: str = POS, slot: str = "slot") -> DataFrame:
@@ -41,8 +61,8 @@ def at_indices(df: DataFrame, indices: list[int], pos: str = POS, slot: str = "s
 
     The list comes from the driver, so it is bounded and broadcast. Negative indices are the caller's to resolve.
     """
-    wanted = df.sparkSession.createDataFrame(list(enumerate(indices)), f"{slot} bigint, {pos} bigint")
-    return df.join(F.broadcast(wanted), pos)
+    wanted = df.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, indices)).cast("array<bigint>")).alias(slot, pos)) if indices else df.sparkSession.createDataFrame([], f"{slot} bigint, {pos} bigint")
+    return df.where(F.col(pos).isin(sorted(set(indices)))).join(F.broadcast(wanted.withColumn(slot, F.col(slot).cast("bigint"))), pos)
 
 
 def sliced(df: DataFrame, start: int, stop: int, step: int = 1, pos: str = POS, slot: str = "slot") -> DataFrame:

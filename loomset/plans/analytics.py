@@ -139,15 +139,6 @@ def q_rank_me(spark, sf):
     return spark.createDataFrame([(round(knn.rank_me(table(spark, sf, "embeddings"), "embedding"), 4),)], "rank_me double")
 
 
-@query()
-def q_greedy_shards(spark, sf):
-    from loomset.storage import shard_of_batches
-
-    d = selection.with_positions(table(spark, sf, "documents").select("doc_id", F.octet_length("text").alias("b")), "doc_id")
-    sizes = d.groupBy(F.floor(F.col(selection.POS) / 50).alias("batch")).agg(F.sum("b").alias("b"), F.count(F.lit(1)).alias("n"))
-    return shard_of_batches(sizes, 1 << 18).groupBy("shard").agg(F.sum("n").alias("n_rows"), F.sum("b").alias("n_bytes"))
-
-
 # beyond the reference: what Spark has for event time
 
 

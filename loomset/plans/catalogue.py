@@ -27,4 +27,4 @@ def query(sql: str | None = None):
 
 
 # the modules register their queries when they are imported
-from loomset.plans import analytics, mutations, relations, views  # noqa: E402, F401
+from loomset.plans import analytics, datasets, mutations, relations, roundtrips, views  # noqa: E402, F401

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from loomset.operators import ordering, selection
+from loomset.operators import ordering, relational, selection
 from loomset.plans.catalogue import query, table
 
 
@@ -138,7 +138,7 @@ SELECT event_id, row_number() OVER (ORDER BY md5('13:' || shard), shard, md5('13
 """)
 def q_epoch_order(spark, sf):
     e = table(spark, sf, "events").select("event_id").withColumn("shard", F.floor(F.col("event_id") / 250))
-    return selection.with_positions(e, *ordering.epoch_order(9, 4, "shard", "event_id"), name="pos").select("event_id", "pos")
+    return ordering.epoch_positions(e, 9, 4, "shard", "event_id", "pos").select("event_id", "pos")
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY event_id // 1000, md5('5:' || event_id), event_id) - 1 AS pos FROM events")
@@ -149,10 +149,8 @@ def q_buffer_shuffle(spark, sf):
 
 @query("SELECT event_id // 1000 AS shard_id, count(*) AS n, CAST(coalesce(sum(count(*)) OVER (ORDER BY event_id // 1000 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_row FROM events GROUP BY 1")
 def q_shard_offsets(spark, sf):
-    from pyspark.sql import Window
-
     n = table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 1000).alias("shard_id")).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("first_row", F.coalesce(F.sum("n").over(Window.orderBy("shard_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return relational.running_base(n, "shard_id", "n", "first_row")
 
 
 @query("SELECT event_id, event_id // 2500 % 4 AS a, event_id // 50 % 50 AS b, event_id % 50 AS c FROM events")
@@ -180,7 +178,8 @@ def q_top_k(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
 
 
-@query("SELECT s.i AS step, e.event_id FROM (SELECT unnest(range(0, 3000)) AS i) s JOIN events e ON e.event_id = s.i % (SELECT count(*) FROM events)")
+@query("SELECT s.i AS step, e.event_id FROM (SELECT unnest(range(0, (SELECT 5 * count(*) // 2 FROM events))) AS i) s JOIN events e ON e.event_id = s.i % (SELECT count(*) FROM events)")
 def q_cycle_batches(spark, sf):
     e = table(spark, sf, "events").select("event_id")
-    return spark.range(3000).select(F.col("id").alias("step"), (F.col("id") % e.count()).alias("event_id")).join(e, "event_id").select("step", "event_id")
+    n = e.count()
+    return spark.range(5 * n // 2).select(F.col("id").alias("step"), (F.col("id") % n).alias("event_id")).join(e, "event_id").select("step", "event_id")

@@ -1,7 +1,8 @@
 """Archive members, binary arrays, time-series text and sound files as DataFrames.
 
-Files are listed by Spark's ``binaryFile`` source, so paths may be any that Spark reads and files spread over executors; members
-come out of a Python generator one at a time, so an archive is never unpacked as a whole.
+Files are listed by Spark's ``binaryFile`` source, so paths may be any that Spark reads and files spread over executors. Archives
+are opened in their task as streams, and members come out of a Python generator one at a time, so neither an archive's bytes nor
+what is in it are ever in memory as a whole; only a member is, since it is a cell. Arrays and sounds are read file by file.
 """
 
 from __future__ import annotations
@@ -31,22 +32,32 @@ def _files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFr
     return reader.load(path).select("path", "content")
 
 
-def members_of(name: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, bytes]]:
-    """(member, content) of a zip or tar file, also compressed; archives in it are opened down to ``depth`` levels."""
-    if zipfile.is_zipfile(io.BytesIO(data)):
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            inner = ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir())
-            yield from _deeper(inner, depth)
+def opened(path: str):
+    """A seekable stream of a file, by the file system that its address names."""
+    from pyarrow import fs
+
+    if "://" not in path:
+        path = "file://" + path.removeprefix("file:") if path.startswith(("/", "file:")) else path
+    system, at = fs.FileSystem.from_uri(path)
+    return system.open_input_file(at)
+
+
+def members_of(file, depth: int = 0) -> Iterator[tuple[str, bytes]]:
+    """(member, content) of a zip or tar stream, also compressed; archives in it are opened down to ``depth`` levels."""
+    if file.read(4)[:2] == b"PK":
+        file.seek(0)
+        with zipfile.ZipFile(file) as z:
+            yield from _deeper(((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()), depth)
         return
-    with tarfile.open(fileobj=io.BytesIO(data), mode="r|*") as t:
-        inner = ((m.name, t.extractfile(m).read()) for m in t if m.isfile())
-        yield from _deeper(inner, depth)
+    file.seek(0)
+    with tarfile.open(fileobj=file, mode="r|*") as t:
+        yield from _deeper(((m.name, t.extractfile(m).read()) for m in t if m.isfile()), depth)
 
 
 def _deeper(inner, depth: int):
     for name, data in inner:
         if depth and name.lower().endswith((".zip", ".tar", ".tgz", ".tar.gz", ".tar.bz2")):
-            for sub, part in members_of(name, data, depth - 1):
+            for sub, part in members_of(io.BytesIO(data), depth - 1):
                 yield f"{name}/{sub}", part
         else:
             yield name, data
@@ -60,21 +71,22 @@ def archive(spark: SparkSession, path: str, pattern: str | None = None, depth: i
 
     def run(batches):
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for name in b.column(0).to_pylist():
                 rows, size = [], 0
                 try:
-                    for member, content in members_of(name, data, depth):
-                        rows.append((name, member, content))
-                        size += len(content)
-                        if size >= BATCH:
-                            yield _rows(rows)
-                            rows, size = [], 0
+                    with opened(name) as file:
+                        for member, content in members_of(file, depth):
+                            rows.append((name, member, content))
+                            size += len(content)
+                            if size >= BATCH:
+                                yield _rows(rows)
+                                rows, size = [], 0
                 except (tarfile.TarError, zipfile.BadZipFile, EOFError):
                     if not skip_broken:
                         raise
                 yield _rows(rows)
 
-    return _files(spark, path, pattern).mapInArrow(run, MEMBER)
+    return _files(spark, path, pattern).select("path").mapInArrow(run, MEMBER)
 
 
 def _rows(rows) -> pa.RecordBatch:
@@ -208,7 +220,7 @@ def time_series(spark: SparkSession, path: str) -> DataFrame:
     ``(time,value)``; without, ``time`` is the position.
     """
     text = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
-    head = ts_header(r["value"] for r in text.limit(10_000).toLocalIterator())
+    head = ts_header(r["value"] for r in text.toLocalIterator())  # stops at @data
     line = F.trim("value")
     data = text.where((line != "") & ~F.substring(line, 1, 1).isin("@", "#", "%")).select("n", F.regexp_replace(line, r"\s+", "").alias("s"))
     labelled = head["classes"] is not None or head["target"]
@@ -233,6 +245,17 @@ def arff(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("n").alias("line_no"), values.alias("values"), F.regexp_replace(F.element_at("p", -1), "^['\"]|['\"]$", "").alias("label"))
 
 
+def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Files that each hold one JSON list of objects, as rows; a file is read as a whole."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def json_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Files that each hold one JSON object, as rows (key, value) of text."""
+    text = spark.read.option("wholetext", True).text(path)
+    return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+
+
 def delimited(spark: SparkSession, path: str, sep: str | None = None, header: bool = True) -> DataFrame:
     """A table of text: ``sep`` None finds the separator (comma, semicolon, tab, bar) in the first line, ' ' is any white space."""
     if sep == " ":

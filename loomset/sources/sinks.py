@@ -8,12 +8,25 @@ import shutil
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomset.operators.relational import running_base
+from loomset.sources.fetch import locked
+
 
 def append_checked(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append to a table whose columns must have the same names and types in the same order."""
+    """Append to a table whose columns must have the same names and types in the same order.
+
+    On a mounted path appends wait for each other, so none is checked against a table that another is making.
+    """
+    if "://" not in path:
+        with locked(path.rstrip("/")):
+            return _append(df, path, fmt)
+    return _append(df, path, fmt)
+
+
+def _append(df: DataFrame, path: str, fmt: str) -> None:
     spark = df.sparkSession
     try:
         have = spark.read.format(fmt).option("header", "true").load(path)
@@ -69,13 +82,32 @@ def frame_table(videos: DataFrame, decode: Callable[[bytes], list[bytes]], key:
 def frame_manifest(frames: DataFrame) -> DataFrame:
     """Rows (video_id, n_frames, start_row): the first row of each video in the frame table's order, a row a video."""
     n = frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_frames"))
-    ahead = Window.orderBy("video_id").rowsBetween(Window.unboundedPreceding, -1)
-    return n.withColumn("start_row", F.coalesce(F.sum("n_frames").over(ahead), F.lit(0)))
+    return running_base(n, "video_id", "n_frames", "start_row")
+
+
+def _few(df: DataFrame, limit: int) -> list:
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report of more than {limit} rows; aggregate, or raise the limit")
+    return rows
 
 
 def latex(df: DataFrame, caption: str = "", limit: int = 1000) -> str:
-    """A small result as a LaTeX table; a report, so it is limited."""
+    """A small result as a LaTeX table; more than ``limit`` rows are an error."""
     names = df.columns
     escape = lambda v: "--" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v).replace("_", r"\_").replace("%", r"\%").replace("&", r"\&")
-    body = "\n".join(" & ".join(escape(r[n]) for n in names) + r" \\" for r in df.limit(limit).collect())
+    body = "\n".join(" & ".join(escape(r[n]) for n in names) + r" \\" for r in _few(df, limit))
     return "\\begin{table}\n\\caption{%s}\n\\begin{tabular}{%s}\n%s \\\\ \\hline\n%s\n\\end{tabular}\n\\end{table}" % (caption, "l" * len(names), " & ".join(map(escape, names)), body)
+
+
+def csv_report(df: DataFrame, path: str, limit: int = 100_000) -> int:
+    """A small result as one CSV file with a header, written at once; returns its rows. More than ``limit`` rows are an error."""
+    import csv
+
+    rows = _few(df, limit)
+    with open(f"{path}.tmp", "w", newline="") as f:
+        out = csv.writer(f)
+        out.writerow(df.columns)
+        out.writerows(["" if v is None else v for v in r] for r in rows)
+    os.replace(f"{path}.tmp", path)
+    return len(rows)
