@@ -119,6 +119,29 @@ def test_pipeline_without_tables(spark, tmp_path):
     empty = spark.read.parquet(f"{src}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, src).count() == 0
+    assert docs.where("part is null or row is null").isEmpty()
+
+
+def test_pipeline_stages_with_odd_rows(spark, odd, clashing, prose):
+    """Nulls, blanks, repeated rows, a very long text and clashing names through each stage; columns stay but in the last."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    src = "/root/testdata/sf0.001"
+    good = spark.read.parquet(f"{src}/documents.parquet").join(spark.read.parquet(f"{src}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").first()["text"]
+    long = " ".join(good.split()[i % len(good.split())] + str(i // 97) for i in range(20_000))
+    rows = [(1, good, "en", "s", 1), (1, good, "en", "s", 1), (2, good, "en", "t", 1), (3, long, "en", "t", 1), (None, good, "en", None, 1)]
+    docs = clashing(odd(rows))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality rules"](spark, docs, src)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.where("length(text) > 100").collect()) == ["1", "1", "2", "None"] + ["3"] * kept.where("doc_id = 3").count()
+    assert kept.where("text is null or trim(text) = ''").isEmpty()
+    lines = stages["line dedup"](spark, docs, src)
+    assert lines.columns == docs.columns and sorted(str(r["doc_id"]) for r in lines.select("doc_id").collect()) == sorted(["None", "None", "1", "1", "3", "92", "93", "93"])
+    near = stages["near dedup"](spark, docs, src)
+    assert near.columns == docs.columns and sorted(str(r["doc_id"]) for r in near.select("doc_id").collect()) == sorted(["None", "None", "1", "1", "3", "90", "91", "92", "93", "93"])
+    mixed = stages["source mixing"](spark, docs, src)
+    assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.select("doc_id").collect()} == {1, 2, 3, 93}
+    out = stages["sentencepiece"](spark, docs, src)
+    assert out.count() == docs.count() and out.where("exact").count() == docs.where("text is not null").count() and out.where("ids is null").count() == 1
 
 
 def test_queries_match_sql(spark):
