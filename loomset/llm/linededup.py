@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomset.llm import common, textkit
-from loomset.llm.slots import filter_of, has, key_filter, key_hash, may_have, opened, packed, suspects_of, unpacked
+from loomset.llm.slots import filter_of, key_filter, key_hash, may_have, opened, packed, suspects_of, unpacked
 from loomset.session import checkpointed
 
 #: A filter is broadcast up to this many bytes; beyond, suspects and changed texts are found by a shuffled join.
@@ -83,8 +83,7 @@ def _lines(batches: Iterator[pa.RecordBatch], kept) -> Iterator[pa.RecordBatch]:
 
 def _probing(filters, slots: int):
     def run(batches):
-        tables = opened(filters)
-        yield from _lines(batches, lambda h: has(tables, slots, h))
+        yield from _lines(batches, opened(filters, slots).has)
 
     return run
 

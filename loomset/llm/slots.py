@@ -91,24 +91,42 @@ def unpacked(t: pa.Table, **kinds) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in kinds.items()]
 
 
-def has(filters: dict[int, np.ndarray], slots: int, h: np.ndarray) -> np.ndarray:
-    """Which hashes the filter of their slot has."""
-    out = np.zeros(len(h), bool)
-    if len(h):
-        slot = slot_of(h, slots)
-        order = np.argsort(slot, kind="stable")
-        which, at = np.unique(slot[order], return_index=True)
-        for s, rows in zip(which.tolist(), np.split(order, at[1:]), strict=True):
-            if s in filters:
-                out[rows] = bloom_has(filters[s], h[rows])
-    return out
-
-
-def opened(filters) -> dict[int, np.ndarray]:
-    """The parts of a broadcast filter, as arrays; a worker keeps them with the broadcast."""
-    if not hasattr(filters, "_arrays"):
-        filters._arrays = {s: np.frombuffer(x, np.uint8) for s, x in filters.value.items()}
-    return filters._arrays
+class Filters:
+    """Filters of all slots in one array; a slot without a filter has none of the hashes."""
+
+    def __init__(self, parts: dict[int, bytes], slots: int):
+        self.slots = slots
+        self.start, self.bits = np.zeros(slots, np.int64), np.zeros(slots, np.uint64)
+        at = 0
+        for s, x in parts.items():
+            self.start[s], self.bits[s] = at, len(x) * 8
+            at += len(x)
+        self.bytes = np.frombuffer(b"".join(parts.values()), np.uint8)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """Which hashes the filter of their slot has."""
+        slot = slot_of(h, self.slots)
+        out = self.bits[slot] > 0
+        at = np.flatnonzero(out)
+        h, slot = h[at], slot[at]
+        start, bits = self.start[slot], self.bits[slot]
+        step = textkit.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
+        x = textkit.mix(h)
+        left = np.arange(len(h))
+        for _ in range(PROBES):  # those that a probe rules out aren't looked at again
+            p = x[left] % bits[left]
+            left = left[(self.bytes[start[left] + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+            x = x + step
+        out[:] = False
+        out[at[left]] = True
+        return out
+
+
+def opened(filters, slots: int) -> Filters:
+    """The parts of a broadcast filter; a worker keeps them with the broadcast."""
+    if not hasattr(filters, "_opened"):
+        filters._opened = Filters(filters.value, slots)
+    return filters._opened
 
 
 def key_hash(key: Column) -> Column:
@@ -136,6 +154,6 @@ def may_have(filters, slots: int):
 
     @F.arrow_udf("boolean")
     def hit(h: pa.Array) -> pa.Array:
-        return pa.array(has(opened(filters), slots, h.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+        return pa.array(opened(filters, slots).has(h.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
 
     return hit

@@ -36,7 +36,7 @@ ZIPF, FOREIGN = 10, 1e6
 #: A character that the vocabulary lacks costs this much more than the worst piece, and becomes byte pieces.
 UNKNOWN = 10.0
 #: Units that a worker remembers, beyond which it starts again, and that it solves at once.
-REMEMBER, AT_ONCE = 150_000, 4_000
+REMEMBER, AT_ONCE = 150_000, 16_000
 SPACE = "▁"
 
 
@@ -87,15 +87,25 @@ class Lattice:
         spilled.sort(key=lambda i: self.hashes[i])
         self.spilled, self.spilled_ids = self.hashes[spilled], np.array(spilled, np.int64)
 
-    def own(self, units: list[str]) -> list[list[int]]:
-        """Lengths of the pieces that the tokenizer cuts each unit into."""
-        plain = [len(u) > 1 and u[0] == SPACE and SPACE not in u[1:] for u in units]
-        said = iter(self.processor.encode([u[1:] for u, p in zip(units, plain, strict=True) if p], num_threads=1))
-        out = []
-        for u, p in zip(units, plain, strict=True):
-            size = self.width[next(said)].tolist() if p else []
-            out.append(size if sum(size) == len(u) else self.merged(u))
-        return out
+    def cuts(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces that the tokenizer cuts units into: unit, end within it, and length of each."""
+        plain = [k for k, u in enumerate(units) if len(u) > 1 and u[0] == SPACE and SPACE not in u[1:]]
+        at, rest = np.array(plain, np.int64), set(range(len(units))) - set(plain)
+        size = self.width[self.processor.encode(" ".join([units[k][1:] for k in plain]), num_threads=1)] if plain else np.zeros(0, np.int64)
+        stop, end = np.cumsum([len(units[k]) for k in plain], dtype=np.int64), np.cumsum(size)
+        if len(stop) and (len(end) == 0 or end[-1] != stop[-1] or not np.isin(stop, end).all()):
+            at, size, end, stop, rest = at[:0], size[:0], end[:0], stop[:0], range(len(units))
+        who = np.searchsorted(stop, end)
+        begin = np.append(0, stop)[who] if len(who) else who
+        parts = [(at[who] if len(who) else who, end - begin, size)]
+        for k in rest:
+            m = self.merged(units[k])
+            parts.append((np.full(len(m), k), np.cumsum(m), np.array(m)))
+        return tuple(np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
+
+    def own(self, unit: str) -> list[int]:
+        """Lengths of the pieces that the tokenizer cuts a unit into."""
+        return self.cuts([unit])[2].tolist()
 
     def merged(self, unit: str) -> list[int]:
         """The same by the merges themselves: of all neighbours that make a piece the best, then the leftmost, merge first."""
@@ -117,11 +127,13 @@ class Lattice:
                     heapq.heappush(heap, (-s, a, parts[a] + parts[b]))
         return [len(p) for p in parts if p]
 
-    def edges(self, unit: str) -> list[tuple[int, int, float]]:
-        """Edges (start, end, score) by end, then start."""
+    def edges(self, unit: str, sizes: list[int] | None = None) -> list[tuple[int, int, float]]:
+        """Edges (start, end, score) by end, then start; ``sizes`` are the lengths of the tokenizer's pieces, if they are known."""
         score, longest, out = self.score, self.longest, []
-        ends = np.cumsum(self.own([unit])[0]).tolist()
-        own = set(zip([0, *ends], ends, strict=False))
+        own, end = set(), 0
+        for n in self.own(unit) if sizes is None else sizes:
+            own.add((end, end + n))
+            end += n
         for j in range(1, len(unit) + 1):
             for i in range(max(0, j - longest), j):
                 s = score.get(unit[i:j])
@@ -160,12 +172,12 @@ class Lattice:
         other = max((best[i] + s + rest[j] for i, j, s in edges if (i, j) not in on), default=-np.inf)
         return ids, best[n], best[n] - other
 
-    def nbest(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    def nbest(self, unit: str, n: int, sizes: list[int] | None = None) -> list[tuple[float, tuple[int, ...]]]:
         """The n best paths (score, ids), best first: backward A-star with exact heuristics.
 
         Of equally good states the one nearest to the start goes on first, so ties don't make the search longer.
         """
-        edges = self.edges(unit)
+        edges = self.edges(unit, sizes)
         best, _ = self.forward(unit, edges)
         into: list[list] = [[] for _ in range(len(unit) + 1)]
         for i, j, s in edges:
@@ -221,9 +233,8 @@ class Lattice:
         rest = best.copy()
         best[0], rest[size, np.arange(len(units))] = 0.0, 0.0
         step, piece, own = np.zeros(best.shape, np.int8), np.zeros(best.shape, np.int32), np.zeros(best.shape, np.int8)
-        cuts = self.own(units)
-        for r, k in enumerate(order.tolist()):
-            own[np.cumsum(cuts[k]), r] = cuts[k]
+        who, end, length = self.cuts([units[k] for k in order.tolist()])
+        own[end, who] = length
         scores: dict[tuple[int, int], np.ndarray] = {}
         for a in range(1, most + 1):
             m = reach[a]
@@ -332,7 +343,7 @@ class Lattice:
             u = units[at]
             if u not in self.alternatives:
                 mine = tuple(ids[stop[at] - m[at] : stop[at]].tolist())
-                ranked = self.nbest(u, n)
+                ranked = self.nbest(u, n, self.width[list(mine)].tolist())
                 self.alternatives[u] = [(ranked[0][0], mine), *[p for p in ranked if p[1] != mine][: n - 1]]
             paths = self.alternatives[u]
             sums = heapq.nsmallest(n, ((d + paths[0][0] - s, (*c, (at, p)) if k else c) for d, c in sums for k, (s, p) in enumerate(paths)), key=lambda x: (x[0], [a for a, _ in x[1]]))

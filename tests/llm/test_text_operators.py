@@ -64,6 +64,11 @@ def test_bloom_filters_miss_nothing():
     h = np.random.default_rng(0).integers(0, 1 << 62, 5000).astype(np.uint64)
     found = set(slots.suspects_of(np.concatenate([h, h[:100]])).tolist())
     assert set(h[:100].tolist()) <= found and len(found) < 150
+    at = slots.slot_of(h, 7)
+    filters = slots.Filters({s: slots.filter_of(h[:2000][at[:2000] == s]).tobytes() for s in range(6)}, 7)
+    hit = filters.has(h)
+    assert hit[:2000][at[:2000] < 6].all() and not hit[at == 6].any() and hit[2000:].mean() < 0.01
+    assert hit.tolist() == [s < 6 and bool(slots.bloom_has(filters.bytes[filters.start[s] : filters.start[s] + int(filters.bits[s]) // 8], x[None])[0]) for s, x in zip(at, h, strict=True)]
 
 
 # ---- near dedup
@@ -200,7 +205,7 @@ def test_points_follow_the_weights():
 
 def brute_paths(lattice, unit):
     paths = []
-    ends = np.cumsum(lattice.own([unit])[0]).tolist()
+    ends = np.cumsum(lattice.own(unit)).tolist()
     own = set(zip([0, *ends], ends, strict=False))
 
     def go(i, score, ids):
@@ -241,7 +246,9 @@ def test_best_segmentation_is_the_tokenizers(spark):
     for text in texts:
         assert m.encode(text, 1)[0][1].tolist() == m.processor.encode(text)
     units = [u for u in m.index if len(u) > 1][:4000]
-    assert [m.merged(u) for u in units] == m.own(units)
+    who, end, size = m.cuts(units)
+    for k, unit in enumerate(units):
+        assert m.merged(unit) == size[who == k].tolist() and np.cumsum(size[who == k]).tolist() == end[who == k].tolist()
 
 
 def test_ties_do_not_make_the_search_longer():
