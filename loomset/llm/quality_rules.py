@@ -29,7 +29,7 @@ KINDS = 4
 SHRINK = np.array([120, 120, 20, 20])
 #: A very long text is scored in parts of about so many bytes, whose n-gram sums add up to those of the whole.
 PART = 1 << 22
-#: N-gram cells of the training rows that one step of training looks at.
+#: N-gram cells of the training rows that are looked at together, at most.
 CELLS = 1 << 20
 
 
@@ -107,7 +107,7 @@ def fit(texts: list[bytes], y: np.ndarray, held: np.ndarray) -> dict:
     if len(set(y[~held].tolist())) < 2:
         p = float(y.mean()) if len(y) else 1.0
         return {"w": np.zeros(1 << BITS, np.float32), "bias": 0.0, "a": 0.0, "b": float(np.log((p + 1e-3) / (1 - p + 1e-3)))}
-    rows, cols, vals = [], [], []
+    blocks = []  # first text, cells of each text, their columns and values: small arrays, so that nothing as long as all cells is copied
     for i, j in textkit.chunks(texts):
         buf, offsets = textkit.joined(texts[i:j])
         if len(buf) < 8:
@@ -115,16 +115,20 @@ def fit(texts: list[bytes], y: np.ndarray, held: np.ndarray) -> dict:
         for kind, (idx, span) in enumerate(_kinds(buf, offsets)):
             n = span[1] - span[0]
             take = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(span[0], n)
-            cell = np.repeat(np.arange(i, j), n).astype(np.int64) << BITS | idx[take]
+            cell = np.repeat(np.arange(j - i), n).astype(np.int64) << BITS | idx[take]
             cell, count = np.unique(cell, return_counts=True)
             r = cell >> BITS
-            rows.append(r.astype(np.int32))
-            cols.append((cell & ((1 << BITS) - 1)).astype(np.int32))
-            vals.append((count / (n[r - i] + SHRINK[kind])).astype(np.float32))
-    r, c, v = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
-    del rows, cols, vals
-    blocks = [slice(a, a + CELLS) for a in range(0, len(r), CELLS)]  # so that no step makes an array as long as the cells
-    odds = lambda: sum((np.bincount(r[b], w[c[b]] * v[b], len(y)) for b in blocks), np.zeros(len(y)))
+            col, val = (cell & ((1 << BITS) - 1)).astype(np.int32), (count / (n[r] + SHRINK[kind])).astype(np.float32)
+            for a in range(0, len(r), CELLS):
+                b = slice(a, a + CELLS)
+                blocks.append((i, np.bincount(r[b], minlength=j - i).astype(np.int32), col[b], val[b]))
+
+    def odds() -> np.ndarray:
+        z = np.zeros(len(y))
+        for i, n, col, val in blocks:
+            z[i : i + len(n)] += np.bincount(np.repeat(np.arange(len(n)), n), w[col] * val, len(n))
+        return z
+
     w, bias = np.zeros(1 << BITS), 0.0
     train = ~held
     balance = np.where(y == 1, 0.5 / max(1, (y[train] == 1).sum()), 0.5 / max(1, (y[train] == 0).sum())) * train
@@ -132,7 +136,9 @@ def fit(texts: list[bytes], y: np.ndarray, held: np.ndarray) -> dict:
     for _ in range(STEPS):
         z = odds() + bias
         e = (1 / (1 + np.exp(-z)) - y) * balance
-        g = sum((np.bincount(c[b], e[r[b]] * v[b], 1 << BITS) for b in blocks), DECAY * w)
+        g = DECAY * w
+        for i, n, col, val in blocks:
+            g += np.bincount(col, np.repeat(e[i : i + len(n)], n) * val, 1 << BITS)
         g2 += g * g
         b2 += e.sum() ** 2
         w -= RATE * g / np.sqrt(g2)
