@@ -33,6 +33,11 @@ def local_session(app: str = "loomset", cores: str = "*", **conf: str) -> SparkS
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
 
 
+#: Let Python workers, which live on between tasks, give large freed arrays back to the system; without thresholds of its own
+#: the allocator raises them to the largest array it has seen.
+WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(16 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20)}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver imports it, and keep their batches small.
 
@@ -41,6 +46,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     if not spark.sparkContext.getConf().contains(BATCH[0]):
         spark.conf.set(*BATCH)
     env = spark.sparkContext.environment
+    for name, value in WORKER.items():
+        env.setdefault(name, value)
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *[x for x in have if x]])
