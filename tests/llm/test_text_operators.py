@@ -574,6 +574,31 @@ def test_passages_of_repeated_keys_text_keys_and_long_texts(spark, odd, clashing
     assert {(r["doc_id"], r["ref_id"], r["start_word"], r["end_word"]) for r in chaining.repeated_passages(named).collect()} == {(f"d{a}", f"d{b}", s, e) for a, b, s, e in got}
 
 
+def test_passages_whose_parts_earlier_documents_have(spark, odd, prose):
+    """Every seed of the last document stands first in a document with too short a part of the passage."""
+    passage = prose(8000, 125).split()
+    rows = [(i, f"{prose(8001 + i, 30)} {' '.join(passage[25 * i : 25 * i + 25])}", "en", "s", 1) for i in range(5)]
+    rows += [(9 + i, f"{prose(8020 + i, 30)} {' '.join(passage[25 * i - 12 : 25 * i + 13])}", "en", "s", 1) for i in range(1, 5)]
+    fuzzy = " ".join(w if i % 25 else f"changed{i}" for i, w in enumerate(passage))
+    rows += [(20, f"{prose(8010, 40)} {' '.join(passage)}", "en", "s", 1), (21, f"{prose(8011, 40)} {fuzzy} {prose(8012, 40)}", "en", "s", 1)]
+    (out,) = chaining.repeated_passages(odd(rows)).collect()
+    assert (out["doc_id"], out["ref_id"]) == (21, 20) and out["start_word"] <= 41 and out["end_word"] >= 164
+
+
+def test_passages_among_hot_seeds(spark, odd, prose):
+    """Seeds that many documents have are compared by what is about them, and no passage is lost by that."""
+    head, more, around = prose(8100, 14), prose(8101, 13), prose(8102, 80).split()
+    rows = [(i, f"{prose(8200 + i, 20 + i)} {head} {prose(8300 + i, 60)} {more if i % 3 else ''} {prose(8400 + i, 40)}", "en", "s", 1) for i in range(40)]
+    alike = [" ".join(w if i % 6 else f"other{n}x{i}" for i, w in enumerate(around)).split() for n in (0, 1)]
+    for n, words in enumerate(alike):  # equal runs of five words, too short for a seed, before and after the head
+        rows.append((50 + n, f"{prose(8500 + n, 9)} {' '.join(words[:36])} {head} {' '.join(words[36:])}", "en", "s", 1))
+        rows.append((60 + n, f"{prose(8600 + n, 60)} {head} {f'{n}x ' * 20} {more} {prose(8602, 7)} {prose(8603 + n, 30)}", "en", "s", 1))
+        rows.append((70 + n, f"{prose(8700 + n, 30)} {head} {prose(8702, 60)} {more}", "en", "s", 1))
+    rows += [(80, rows[3][1], "en", "s", 1), (81, f"{head} {head} {head} {head}", "en", "s", 1), (82, f"x {head} {head} {head} {head} y", "en", "s", 1)]
+    full, few = ({tuple(r) for r in chaining.repeated_passages(odd(rows), hot_limit=hot).collect()} for hot in (1 << 30, 5))
+    assert few == full and {51, 71, 80, 82} <= {r[0] for r in full}
+
+
 @pytest.mark.parametrize("together", [False, True])
 def test_seeds_that_earlier_documents_have_singly(spark, odd, prose, together):
     passage = prose(2000, 120).split()
