@@ -35,7 +35,7 @@ NBEST = 3
 ZIPF, FOREIGN = 10, 1e6
 #: A character that the vocabulary lacks costs this much more than the worst piece, and becomes byte pieces.
 UNKNOWN = 10.0
-#: Units that a worker remembers, beyond which it starts again, and that it solves at once.
+#: Units that a worker remembers, beyond which it forgets the rare ones, and that it solves at once.
 REMEMBER, AT_ONCE = 150_000, 16_000
 SPACE = "▁"
 
@@ -67,6 +67,7 @@ class Lattice:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces of this model cross words")
         self.index, self.parts = Numbering(), []
+        self.uses = np.zeros(0, np.int64)
         self.alternatives: dict[str, list] = {}
         self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.scores = np.full(n + 1, -np.inf)  # the last is for what is no piece
@@ -302,14 +303,26 @@ class Lattice:
             self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))]
         return self.parts[0]
 
+    def forget(self) -> None:
+        """Keep the units that came up again, the most used ones if they are more than a third of what may be remembered."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > REMEMBER // 3:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: REMEMBER // 3]])
+        flat, size, total, gap = self.tables()
+        begin, m = (np.cumsum(size) - size)[keep], size[keep]
+        flat = flat[np.arange(m.sum()) + np.repeat(begin - np.cumsum(m) + m, m)]
+        units = list(self.index)
+        self.index = Numbering((units[k], n) for n, k in enumerate(keep.tolist()))
+        self.parts, self.uses = [(flat, m, total[keep], gap[keep])] if len(keep) else [], self.uses[keep] // 2
+        self.alternatives = {u: p for u, p in self.alternatives.items() if u in self.index}
+
     def encode_all(self, texts: list[str], n: int = NBEST) -> list[list[tuple[float, np.ndarray]]]:
         """The n best segmentations of each text as (score, ids), best first.
 
         Of equal scores the one comes first that changes the earlier unit.
         """
         if len(self.index) > REMEMBER:
-            self.index, self.parts = Numbering(), []
-            self.alternatives.clear()
+            self.forget()
         units = [self.units.findall(self.normal(t)) for t in texts]
         have = len(self.index)
         where = [np.fromiter(map(self.index.__getitem__, u), np.int64, len(u)) for u in units]
@@ -317,6 +330,9 @@ class Lattice:
             new = list(self.index)[have:]
             for k in range(0, len(new), AT_ONCE):
                 self.learn(new[k : k + AT_ONCE])
+        uses = np.bincount(np.concatenate([np.zeros(0, np.int64), *where]), minlength=len(self.index))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         if not self.parts:
             return [[(0.0, np.zeros(0, np.int32))] for _ in texts]
         flat, size, total, gap = self.tables()

@@ -258,6 +258,19 @@ def test_ties_do_not_make_the_search_longer():
         assert len({i for _, i in got}) == 5 and [s for s, _ in got] == sorted((s for s, _ in got), reverse=True)
 
 
+def test_units_that_come_up_again_are_solved_once(prose, monkeypatch):
+    """A full table forgets rare units, not frequent ones, and the segmentations stay the same."""
+    texts = [f"the common words of {prose(9000 + i, 3)} number{i}x" for i in range(40)]
+    want, small = spm.Lattice().encode_all(texts), spm.Lattice()
+    monkeypatch.setattr(spm, "REMEMBER", 30)
+    learned = []
+    learn = small.learn
+    monkeypatch.setattr(small, "learn", lambda units: (learned.extend(units), learn(units))[1])
+    got = [small.encode_all(texts[k : k + 4])[n] for k in range(0, 40, 4) for n in range(4)]
+    assert [[(s, i.tolist()) for s, i in x] for x in got] == [[(s, i.tolist()) for s, i in x] for x in want]
+    assert learned.count("▁common") == 1 and len(small.index) < 60
+
+
 def test_encode_and_decode(spark, odd, empty, clashing, prose):
     docs = clashing(odd([(1, prose(1, 4000), "en", "s", 1)]))
     out = spm.decode(spm.encode(docs), "_ids")
