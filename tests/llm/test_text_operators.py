@@ -612,6 +612,21 @@ def test_passages_among_hot_seeds(spark, odd, prose):
     assert few == full and {51, 71, 80, 82} <= {r[0] for r in full}
 
 
+def test_few_matches_of_hot_seeds(prose):
+    """Texts that share a phrase among other seeds don't meet; runs of one word meet as stretches, not word by word."""
+
+    def matches(texts):
+        g, _, _ = chaining.seeds(texts)
+        u, count = np.unique(g, return_counts=True)
+        g, doc, at, many, *place = chaining.places(texts, None, u[count > 64])
+        assert many.any()
+        return sum(len(b["k"]) for b in chaining.hot_matches(g[many], doc[many], at[many].astype(np.int32), *place, 35))
+
+    head, n = prose(8100, 14), 200
+    assert matches([f"{prose(9000 + i, 60)} {head} {prose(9500 + i, 60)}".encode() for i in range(n)]) < n * n // 4
+    assert matches([f"{prose(9000 + i, 60)} {'on ' * 90} {prose(9500 + i, 60)}".encode() for i in range(n)]) < n * n
+
+
 @pytest.mark.parametrize("together", [False, True])
 def test_seeds_that_earlier_documents_have_singly(spark, odd, prose, together):
     passage = prose(2000, 120).split()
