@@ -59,9 +59,12 @@ def _stem():
 
 
 def _embedded(spark, sf, make, suffix, kind="float32"):
-    """Matrices of embeddings in files of one format, beside files of the ids of the same stem."""
+    """Matrices of embeddings in files of one format, beside files of the ids of the same stem.
+
+    Both are written by jobs of their own, and rows come out of a shuffle in any order: they are sorted, so that places agree.
+    """
     folder = writers.scratch(spark, "arrays")
-    e = table(spark, sf, "embeddings").select("vec_id", "embedding").repartition(3, "vec_id")
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding").repartition(3, "vec_id").sortWithinPartitions("vec_id")
     writers.by_task(e, folder, suffix, writers.arrays(make))
     writers.by_task(e, folder, ".ids.npy", writers.arrays(lambda ids, x: writers.npy_bytes(ids)))
     ids = archives.array_rows(spark, folder, archives.parse_npy, "*.ids.npy").select(_stem(), "idx", _numbers("int64")("content")[0].cast("long").alias("vec_id"))
