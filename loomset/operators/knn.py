@@ -4,47 +4,140 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+#: Queries of a task, least queries of one, tasks that share the work, least pairs of one where there are fewer; queries and
+#: candidates that meet at once, and pairs whose exact cosine is computed at once.
+BLOCK, LEAST, TASKS, PAIRS = 1 << 15, 4096, 64, 1 << 27
+ROWS, COLUMNS, AT_ONCE = 512, 2048, 1 << 15
 
 
-def neighbours(vectors: DataFrame, key: str, vector: str, k: int = 10, block: int = BLOCK) -> DataFrame:
+def neighbours(vectors: DataFrame, key: str, vector: str, k: int = 10, block: int | None = None) -> DataFrame:
     """Rows (key, neighbour, rank): the k others of greatest cosine, equal ones (to six decimals) by key.
 
-    Blocks of queries meet blocks of candidates in numpy; each pair of blocks is a task and gives k rows a query.
+    All pairs are looked at: a task has a block of queries, and the candidates stream through it in chunks. Single precision tells which
+    can be among the k best; only their exact cosines are computed, and a task gives k rows a query. Blocks grow with the table up to
+    ``BLOCK``, so rows are copied a fixed number of times until then. Rows without key or vector have no neighbours and are none.
     """
-    n = max(1, -(-vectors.count() // block))
-    own = F.pmod(F.xxhash64(key), F.lit(n))
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v"), own.alias("b"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select("k", "v", F.col("b").alias("qb"), each.alias("ob"), F.lit(True).alias("asks"))
-    right = rows.select("k", "v", F.col("b").alias("ob"), each.alias("qb"), F.lit(False).alias("asks"))
-
-    def run(t: pa.Table) -> pa.Table:
-        asks = t["asks"].to_numpy()
-        x = np.array(t["v"].to_pylist(), float)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        ids = t["k"].to_numpy()
-        q, o = ids[asks], ids[~asks]
-        out = [[], [], []]
-        for a in range(0, len(q), 512):
-            s = (x[asks][a : a + 512] @ x[~asks].T).round(6)
-            s[q[a : a + 512, None] == o[None]] = -np.inf
-            order = np.lexsort((np.broadcast_to(o, s.shape), -s), axis=1)[:, :k]
-            near = np.take_along_axis(s, order, 1)
-            ok = near > -np.inf
-            out[0].append(np.repeat(q[a : a + 512], ok.sum(1)))
-            out[1].append(o[order][ok])
-            out[2].append(near[ok])
-        return pa.table({c: np.concatenate([np.zeros(0, kind), *v]) for c, v, kind in zip(("key", "neighbour", "similarity"), out, (np.int64, np.int64, float), strict=True)})
-
-    found = left.unionByName(right).groupBy("qb", "ob").applyInArrow(run, "key bigint, neighbour bigint, similarity double")
+    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    n, d = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
+    block = block or min(BLOCK, max(LEAST, -(-n // 24)), max(LEAST, (256 << 20) // (8 * max(1, d))))
+    blocks = max(1, -(-n // block))
+    parts = max(1, min(-(-TASKS // blocks), n * block // PAIRS))
+    kind = np.float32 if vectors.schema[vector].dataType.elementType.typeName() == "float" else np.float64
+    cells = rows.select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast(f"array<{'float' if kind is np.float32 else 'double'}>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
+    sent = cells.mapInArrow(_sent(blocks, parts, d, kind), "task int, asks boolean, ids binary, x binary")
+    met = sent.repartitionById(blocks * parts, F.col("task")).sortWithinPartitions("task", F.desc("asks"))
+    found = met.mapInArrow(_met(k, d, kind), "key bigint, neighbour bigint, similarity double")
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("similarity"), "neighbour"))
     return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("key", "neighbour", "rank")
 
 
+def _sent(blocks: int, parts: int, d: int, kind):
+    """Chunks of rows (k, v, b): as queries for all tasks of their block, as candidates for one task of each block."""
+
+    def chunk(tasks, asks, ids, x):
+        n = len(tasks)
+        return pa.RecordBatch.from_arrays([pa.array(tasks, pa.int32()), pa.array([asks] * n), pa.array([ids.tobytes()] * n, pa.binary()), pa.array([x.tobytes()] * n, pa.binary())], ["task", "asks", "ids", "x"])
+
+    def run(batches):
+        turn = TaskContext.get().partitionId()
+        for b in batches:
+            ids, v, own = b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy()
+            if (np.diff(v.offsets.to_numpy()) != d).any():
+                raise ValueError("vectors are of several lengths")
+            x = v.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(ids), d)
+            for q in np.unique(own).tolist():
+                yield chunk([q * parts + p for p in range(parts)], True, ids[own == q], x[own == q])
+            for a in range(0, len(ids), COLUMNS):
+                turn += 1
+                for q in range(blocks):  # a batch each: many blocks of one chunk aren't held at once
+                    yield chunk([q * parts + (turn + q) % parts], False, ids[a : a + COLUMNS], x[a : a + COLUMNS])
+
+    return run
+
+
+def _met(k: int, d: int, kind):
+    """The k best candidates of each query of a task; its queries come first."""
+
+    def run(batches):
+        task, asked, nearest = None, [], None
+        for b in batches:
+            for t, asks, ids, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if t != task:
+                    if nearest is not None:
+                        yield from nearest.rows()
+                    task, asked, nearest = t, [], None
+                part = np.frombuffer(ids, np.int64), _unit(np.frombuffer(x, kind).reshape(-1, d) if d else np.zeros((len(ids) // 8, 0)))
+                if asks:
+                    asked.append(part)
+                    continue
+                if nearest is None and asked:
+                    nearest, asked = Nearest(*(np.concatenate(c) for c in zip(*asked, strict=True)), k), []
+                if nearest is not None:
+                    nearest.meet(*part)
+        if nearest is not None:
+            yield from nearest.rows()
+
+    return run
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+class Nearest:
+    """Of each query the k best candidates so far, by cosine to six decimals, then by id."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        self.ids, self.x, self.k, self.small = ids, x, k, x.astype(np.float32)
+        self.near, self.who = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        # by what cosines of single precision can be off, twice, and the sixth decimal
+        self.slack = np.float32(2 * (x.shape[1] + 8) * 2.0**-24 + 2e-6)
+
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        small = np.ascontiguousarray(x.astype(np.float32).T)
+        for a in range(0, len(self.ids), ROWS):
+            s = self.small[a : a + ROWS] @ small
+            least = self.near[a : a + ROWS, -1].astype(np.float32)
+            free = np.flatnonzero(least == -np.inf)
+            if len(free) and len(ids) > self.k:  # the k-th of this chunk bounds those that haven't k candidates yet
+                f = s[free]
+                f[np.isnan(f) | (self.ids[a + free, None] == ids)] = -np.inf
+                least[free] = np.partition(f, len(ids) - self.k, axis=1)[:, -self.k]
+            mask = np.zeros((len(s), -(-len(ids) // 8) * 8), bool)
+            np.greater_equal(s, (least - self.slack)[:, None], out=mask[:, : len(ids)])
+            at = np.flatnonzero(mask.view(np.uint64))
+            for lo in range(0, len(at), AT_ONCE // 8):
+                some = at[lo : lo + AT_ONCE // 8]
+                which, bit = np.nonzero(mask.reshape(-1, 8)[some])
+                q, c = np.divmod(some[which] * 8 + bit, mask.shape[1])
+                q += a
+                exact = np.einsum("ij,ij->i", self.x[q], x[c]).round(6)
+                ok = (exact >= self.near[q, -1]) & (self.ids[q] != ids[c])
+                self._take(q[ok], exact[ok], ids[c[ok]])
+
+    def _take(self, q: np.ndarray, near: np.ndarray, who: np.ndarray) -> None:
+        if not len(q):
+            return
+        have = np.unique(q)
+        q = np.concatenate([np.repeat(have, self.k), q])
+        near, who = np.concatenate([self.near[have].ravel(), near]), np.concatenate([self.who[have].ravel(), who])
+        order = np.lexsort((who, -near, q))
+        first = np.searchsorted(q[order], have)
+        best = order[first[:, None] + np.arange(self.k)]
+        self.near[have], self.who[have] = near[best], who[best]
+
+    def rows(self):
+        for a in range(0, len(self.ids), BLOCK):
+            near = self.near[a : a + BLOCK]
+            ok = near > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids[a : a + BLOCK], ok.sum(1))), pa.array(self.who[a : a + BLOCK][ok]), pa.array(near[ok])], ["key", "neighbour", "similarity"])
+
+
 def votes(near: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
     """Rows (key, predicted): the label most neighbours have, of equals the least."""
     counts = near.join(labels.select(F.col(key).alias("neighbour"), F.col(label).alias("l")), "neighbour").groupBy("key", "l").count()

@@ -73,6 +73,37 @@ def test_windows_need_whole_spans(spark):
         frames.plan_windows(n, "g", 0)
 
 
+def test_neighbours_against_all_pairs(spark):
+    """Equal vectors, a zero vector, repeated and null keys, rows without vector; blocks of one task and of several."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(150, 6)), r.integers(-1, 2, (60, 6)), np.zeros((1, 6))]).astype(np.float32)
+    ids = [*range(200), 199, *range(200, 210)]
+    rows = [(i, v.tolist()) for i, v in zip(ids, x, strict=True)]
+    table = spark.createDataFrame([*rows, (None, [1.0] * 6), (300, None)], "vec_id bigint, embedding array<float>").repartition(3)
+    unit = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1, keepdims=True), 1e-12)
+    s = (unit @ unit.T).round(6)
+    want = set()
+    for key in set(ids):
+        near = sorted((-s[a, b], ids[b]) for a in range(len(ids)) for b in range(len(ids)) if ids[a] == key and ids[b] != key)
+        want |= {(key, b, rank) for rank, (_, b) in enumerate(near[:7], 1)}
+    for block in (None, 50):
+        assert {tuple(q) for q in knn.neighbours(table, "vec_id", "embedding", 7, block).collect()} == want
+    assert knn.neighbours(table.limit(0), "vec_id", "embedding").count() == 0
+
+
+def test_few_pairs_have_exact_cosines():
+    r = np.random.default_rng(6)
+    x = r.normal(size=(6000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near, taken = knn.Nearest(np.arange(3000), x[:3000], 10), []
+    take = near._take
+    near._take = lambda q, s, who: (taken.append(len(q)), take(q, s, who))
+    for a in range(0, 6000, 1000):
+        near.meet(np.arange(a, a + 1000), x[a : a + 1000])
+    assert sum(taken) < 3000 * 6000 / 100
+    assert (near.who[:, 0] == ((x[:3000] @ x.T).round(6) - 9 * np.eye(3000, 6000)).argmax(1)).all()
+
+
 def test_rank_me(spark):
     eye = spark.createDataFrame([([1.0, 0.0],), ([0.0, 1.0],)], "v array<double>")
     assert math.isclose(knn.rank_me(eye, "v"), 2, rel_tol=1e-3)
