@@ -637,3 +637,22 @@ def test_seeds_that_earlier_documents_have_singly(spark, odd, prose, together):
     rows += [(20, f"{prose(1, 40)} {' '.join(passage)}", "en", "s", 1), (21, f"{prose(2, 40)} {fuzzy} {prose(4, 40)}", "en", "s", 1)]
     (out,) = chaining.repeated_passages(odd(rows)).collect()
     assert (out["doc_id"], out["ref_id"]) == (21, 20) and out["start_word"] <= 52 and out["end_word"] >= 147
+
+
+def test_chains_that_cannot_be_passages_are_left_out(spark, prose):
+    """A chain of 12 words that stays alone isn't aligned; one whose ends go on is, also over a gap or at a text's end."""
+    phrase = prose(1, 12)
+    texts = [f"{prose(2, 60)} {phrase} {prose(3, 60)}", f"{prose(4, 60)} {phrase} {prose(5, 60)}", prose(6, 50), f"{prose(7, 9)} {prose(6, 50)}"]
+    some = spark.createDataFrame(list(enumerate(texts)), "k bigint, x string")
+    chain = lambda *frags: np.array(frags, np.int32).tobytes()
+    rows = [(1, 0, 0, chain((60, 60, 12))), (3, 2, 0, chain((15, 6, 12))), (3, 2, 1, chain((9, 0, 12), (30, 21, 12))), (1, 2, 0, chain((0, 0, 12)))]
+    found = spark.createDataFrame(rows, "k bigint, ref bigint, c int, frags binary")
+    assert {tuple(r)[:3] for r in chaining.plausible(found, some, 35).collect()} == {(3, 2, 0), (3, 2, 1)}
+
+
+def test_ranges_of_many_chains():
+    chains = [np.array(x, np.int32) for x in ([(60, 50, 12)], [(5, 90, 12), (40, 120, 20), (58, 170, 7)], [(0, 0, 30)])]
+    first = np.cumsum([0, *map(len, chains)])
+    for side in (0, 1):
+        got, at = chaining._asked(np.concatenate(chains), first, side)
+        assert [x.tolist() for x in np.split(got, at[1:-1])] == [chaining.windows(c)[side].tolist() for c in chains]
